@@ -48,7 +48,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def bucket_count(df: DataFrame, per_bucket: int = BUCKET_BYTES) -> int:
     """Hash buckets for a packed exchange over ``df``: they grow with its size, and fill every shuffle partition."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return int(min(max(4 * shuffle_partitions(df.sparkSession), size // per_bucket), 1 << 24))
+    return int(min(max(2 * shuffle_partitions(df.sparkSession), size // per_bucket), 1 << 24))
 
 
 def fold(column: str = "doc_id", modulo: int = 5) -> Column:
