@@ -16,7 +16,7 @@ import xxhash
 
 #: Whole documents are handled in slices of about this many bytes, whatever the
 #: size of the Arrow batch that brought them; one longer document is one slice.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 #: Words longer than this are hashed one by one instead of lane by lane.
 LONG_WORD = 256
