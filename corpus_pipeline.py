@@ -1,26 +1,72 @@
-"""Corpus pipeline: quality rules, language ID, near-dedup, substring dedup and packing over ``documents``."""
+"""Corpus pipeline: quality rules, language ID, near-dedup, substring dedup and packing over ``documents``.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and
+reread as the next stage's ``docs``.  Filtering stages take away the few ids they
+reject by an anti-join, which shuffles no text while these ids are few (the join is
+chosen by their counted size), and so a row without an id is never rejected.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import quality_rules
+from tidemark.llm import language_id, near_dedup, packing, quality_rules, substring_dedup
+from tidemark.llm.shared import checkpointed, join_checked
+
+#: Documents whose best language has a lower score than this are rejected.
+MIN_LANGUAGE_SCORE = 0.4
+
+
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    return join_checked(docs, rejected.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage 1: documents that the quality rules reject go."""
-    kept = quality_rules.apply(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """Documents that the quality rules reject go."""
+    return _without(docs, quality_rules.apply(docs).where("not kept"))
+
+
+def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in no language, or in none that scores well enough, go."""
+    found = language_id.apply(docs)
+    return _without(docs, found.where((F.col("lang_pred") == language_id.UNKNOWN) | (F.col("score") < MIN_LANGUAGE_SCORE)))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return _without(docs, near_dedup.apply(docs).where("not kept"))
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts lose the passages that occur more than once."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    told = substring_dedup.apply(docs, carry=tuple(others))
+    texts = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return told.select(*(texts[c].alias(c) if c in texts else F.col(c) for c in docs.columns))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences."""
+    return packing.apply(docs)
 
 
-STAGES = [("quality rules", keep_quality)]
+STAGES = [
+    ("quality rules", keep_quality),
+    ("language ID", keep_language),
+    ("near-dedup", drop_near_copies),
+    ("substring dedup", drop_repeated_passages),
+    ("packing", pack),
+]
 
+#: Language ID and packing are beyond SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = checkpointed(docs)
     return docs

@@ -9,14 +9,12 @@ keys are all ``bands * bands`` pairs of one half-key from each family.  So
 Documents with equal sets fall together first, by a 128-bit set hash, so a group
 of exact copies enters the tables once.
 
-Within a bucket no pairs are enumerated.  Every member is verified against one
-pivot, the member with the most company over all tables (in a family of edited
-copies that is the original).  What a pivot could hide is found by a prefix
-filter on differences: if c is not similar to the pivot P, a document x similar
-to c must share with c more than half of its own differences from P, so x and c
-meet in a bucket keyed by (P, difference) when each is filed under a prefix of
-its differences, insertions before deletions.  Those buckets are treated in the
-same way, with documents not linked so far as pivots, until no new pair appears.
+Within a bucket no pairs are enumerated, so work is linear in the memberships.
+First every member is verified against one pivot, the member with the most company
+over all tables (in a family of edited copies that is close to the original).  Then,
+in buckets that still hold several components, the members are laid out by further
+half-keys, which puts the most similar ones side by side, and neighbours of different
+components are verified; this is repeated with other half-keys.
 
 All links are confirmed on full sets: 100 * intersection >= threshold * union.
 
@@ -34,7 +32,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -51,6 +49,7 @@ class Banding:
     percent: int = 80
     bands: int = 8
     rows: int = 2
+    chains: int = 3
     seed: int = 20240917
 
 
@@ -114,79 +113,60 @@ def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Record
 
 
 def table_members(classes: DataFrame) -> DataFrame:
-    """(bucket, node) for every table key that two or more sets share."""
+    """(bucket, slot, node) for every table key that two or more sets share; a slot numbers the pair of half-keys."""
     pairs = F.transform("firsts", lambda a: F.transform("seconds", lambda b: F.xxhash64(a, b)))
-    keys = classes.select("node", F.explode(F.flatten(pairs)).alias("bucket"))
+    keys = classes.select("node", F.posexplode(F.flatten(pairs)).alias("slot", "bucket"))
     shared = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     return keys.join(shared.hint("merge"), "bucket")
 
 
-def star(members: DataFrame, rank: list[str]) -> DataFrame:
-    """(node, pivot) for every member of a bucket but its pivot, the member of highest ``rank``."""
-    pivots = members.groupBy("bucket").agg(F.max(F.struct(*rank, "node")).alias("top")).select("bucket", F.col("top.node").alias("pivot"))
-    return members.select("bucket", "node").join(pivots.hint("merge"), "bucket").where("node != pivot").select("node", "pivot").distinct()
+def star(members: DataFrame) -> DataFrame:
+    """(node, other) for every member of a bucket but its pivot, the member with most company."""
+    company = members.groupBy("node").agg(F.count(F.lit(1)).alias("company"))
+    pivots = members.join(company.hint("merge"), "node").groupBy("bucket").agg(F.max(F.struct("company", "node")).alias("top"))
+    pivots = pivots.select("bucket", F.col("top.node").alias("other"))
+    return members.select("bucket", "node").join(pivots.hint("merge"), "bucket").where("node != other").select("node", "other").distinct()
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Exact comparison of full sets, with the differences under which a node is filed for its pivot."""
-    needed = sets.join(pairs.select(F.col("node").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
-    of_pivots = join_checked(sets, pairs.select(F.col("pivot").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    both = (
-        pairs.join(of_pivots.select(F.col("doc_id").alias("pivot"), F.col("shingles").alias("theirs")).hint("merge"), "pivot")
-        .join(needed.select(F.col("doc_id").alias("node"), F.col("shingles").alias("own")).hint("merge"), "node")
-        .withColumns({"added": F.array_except("own", "theirs"), "n_own": F.size("own"), "n_theirs": F.size("theirs")})
-        .withColumn("common", F.col("n_own") - F.size("added"))
-        .withColumn("lost", F.array_except("theirs", "own"))
-    )
-    # similar: 100 c >= p (a + b - c); short: by how many more common elements a node falls short
-    need = F.lit(percent / (100 + percent))
-    linked = 100 * F.col("common") >= percent * (F.col("n_own") + F.col("n_theirs") - F.col("common"))
-    short = need * (F.col("n_own") + F.col("n_theirs")) - F.col("common")
-    differ = F.size("added") + F.size("lost")
-    least = (1 - need) * F.size("lost") + need * F.size("added")
-    filed = differ - F.floor(least + F.lit(1e-9)).cast("int")
-    asked = differ - F.ceil(short - F.lit(1e-9)).cast("int") + 1
-    ordered = F.concat(F.sort_array("added"), F.sort_array("lost"))
-    return both.select(
-        "node", "pivot", linked.alias("linked"),
-        F.slice(ordered, 1, F.greatest(filed, F.lit(0))).alias("filed"),
-        F.when(linked, F.array().cast("array<long>")).otherwise(F.slice(ordered, 1, F.greatest(asked, F.lit(0)))).alias("asked"),
-    )
+def chain(members: DataFrame, labels: DataFrame, halves: DataFrame, bands: int, turn: int) -> DataFrame:
+    """(node, other) for neighbours of different components in buckets laid out by half-keys other than their own."""
+    rows = members.join(labels.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
+    rows = rows.join(mixed.hint("merge"), "bucket").join(halves.hint("merge"), "node")
+    i, j = F.floor(F.col("slot") / bands), F.col("slot") % bands
+    keys = [F.get(half, ((at + 2 * turn + k) % bands).cast("int")) for k in (1, 2) for half, at in (("firsts", i), ("seconds", j))]
+    rows = rows.select("bucket", "node", "component", *(key.alias(f"key{k}") for k, key in enumerate(keys)))
+    order = Window.partitionBy("bucket").orderBy(*(f"key{k}" for k in range(len(keys))), "node")
+    rows = rows.select("node", "component", F.lag("node").over(order).alias("other"), F.lag("component").over(order).alias("beside"))
+    return rows.where("component != beside").select(F.greatest("node", "other").alias("node"), F.least("node", "other").alias("other")).distinct()
 
 
-def hidden_members(verified: DataFrame, labels: DataFrame) -> DataFrame:
-    """Difference buckets that may still hide a link: (bucket, asking, node)."""
-    rows = verified.select("node", F.explode("filed").alias("x"), "pivot", F.lit(0).alias("asking")).unionByName(
-        verified.select("node", F.explode("asked").alias("x"), "pivot", F.lit(1).alias("asking"))
-    )
-    rows = rows.groupBy(F.xxhash64("pivot", "x").alias("bucket"), "node").agg(F.max("asking").alias("asking"))
-    open_ = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("asking").alias("asking")).where("n > 1 and asking = 1").select("bucket")
-    rows = rows.join(open_.hint("merge"), "bucket")
-    labelled = rows.join(labels.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("bucket")
-    return rows.join(mixed.hint("merge"), "bucket")
+def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs that are similar on full sets."""
+    named = [join_checked(sets, pairs.select(F.col(x).alias("doc_id")).distinct(), "doc_id", "left_semi") for x in ("node", "other")]
+    own, theirs = (part.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"of_{x}")) for part, x in zip(named, ("node", "other"), strict=True))
+    both = pairs.join(theirs.hint("merge"), "other").join(own.hint("merge"), "node")
+    common, total = F.size(F.array_intersect("of_node", "of_other")), F.size("of_node") + F.size("of_other")
+    return both.where(100 * common >= percent * (total - common)).select(F.col("node").alias("a"), F.col("other").alias("b"))
 
 
 def link_classes(documents: DataFrame, classes: DataFrame, banding: Banding) -> DataFrame:
     """(node, component) of all set classes that have a link."""
     members = checkpointed(table_members(classes))
-    company = members.groupBy("node").agg(F.count(F.lit(1)).alias("company"))
-    pairs = checkpointed(star(members.join(company.hint("merge"), "node"), ["company"]))
-    wanted = members.select(F.col("node").alias("doc_id")).distinct()
+    nodes = members.select("node").distinct()
+    halves = checkpointed(classes.select("node", "firsts", "seconds").join(nodes.hint("merge"), "node", "left_semi"))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = checkpointed(join_checked(rows, wanted, "doc_id", "left_semi").mapInArrow(partial(_sets, shingle=banding.shingle), "doc_id long, shingles array<long>"))
-    verified = tested = None
-    while True:
-        found = checkpointed(verify(pairs, sets, banding.percent))
-        verified = found if verified is None else verified.unionByName(found)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        labels = components(verified.where("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
-        again = hidden_members(verified, labels)
-        fresh = star(again, ["asking"]).join(tested.hint("merge"), ["node", "pivot"], "left_anti")
-        fresh = fresh.join(tested.select(F.col("node").alias("pivot"), F.col("pivot").alias("node")).hint("merge"), ["node", "pivot"], "left_anti")
-        pairs = checkpointed(fresh)
+    wanted = join_checked(rows, nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
+    sets = checkpointed(wanted.mapInArrow(partial(_sets, shingle=banding.shingle), "doc_id long, shingles array<long>"))
+    links = checkpointed(verify(checkpointed(star(members)), sets, banding.percent))
+    labels = components(links)
+    for turn in range(banding.chains):
+        pairs = checkpointed(chain(members, labels, halves, banding.bands, turn))
         if pairs.isEmpty():
-            return labels
+            break
+        links = links.unionByName(checkpointed(verify(pairs, sets, banding.percent)))
+        labels = components(links)
+    return labels
 
 
 def apply(documents: DataFrame, banding: Banding = Banding()) -> DataFrame:

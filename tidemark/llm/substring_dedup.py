@@ -35,7 +35,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import bucket_count, covered, join_checked, merge_runs, pack, per_document, shuffle_partitions
@@ -60,10 +60,13 @@ def difference_cover(period: int) -> tuple[int, ...]:
     raise ValueError(period)
 
 
+def _row_key() -> Column:
+    """Tells rows apart, a null id included."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+
+
 def keyed(documents: DataFrame) -> DataFrame:
-    """doc_id, text and the key that tells rows apart, a null id included."""
-    ids = F.col("doc_id").cast("long")
-    return documents.select(ids.alias("doc_id"), "text", F.coalesce(ids, F.xxhash64("text")).alias("row_key"))
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _row_key().alias("row_key"))
 
 
 def _grouped(labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -250,24 +253,30 @@ def _digest(column: np.ndarray, offsets: np.ndarray) -> list[str]:
 
 def _finish(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        names = batch.schema.names
         for part in slices(batch):
-            starts, per = _intervals(part.column(3))
-            ends, _ = _intervals(part.column(4))
+            starts, per = _intervals(part.column(2))
+            ends, _ = _intervals(part.column(3))
             data, offsets, n_words, n_removed = kept_texts(*buffers(part.column(1)), starts, ends, per)
             if digest:
                 told = pa.array(_digest(data, offsets))
             else:
-                told = pa.LargeStringArray.from_buffers(len(n_words), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n_words), pa.array(n_removed), told], ["doc_id", "row_key", "n_words", "n_removed", "kept_sha256" if digest else "kept_text"])
+                told = pa.LargeStringArray.from_buffers(len(n_words), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))).cast(pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(n_words), pa.array(n_removed), told, *part.columns[4:]],
+                ["doc_id", "n_words", "n_removed", "kept_sha256" if digest else "kept_text", *names[4:]],
+            )
 
 
-def apply(documents: DataFrame, window: int = WINDOW, period: int = PERIOD, digest: bool = False) -> DataFrame:
-    """One row per document: doc_id, row_key, n_words, n_removed and the kept text, or its SHA-256."""
+def apply(documents: DataFrame, window: int = WINDOW, period: int = PERIOD, digest: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, n_words, n_removed and the kept text, or its SHA-256, then the columns to carry."""
     if not 0 < period <= window:
         raise ValueError("the period must lie within the window")
     rows = keyed(documents)
-    joined = join_checked(rows, removals(rows, window, period), "row_key", "left", payload="starts")
+    carried = {f"carried{k}": documents[name] for k, name in enumerate(carry)}
+    wide = documents.select(_row_key().alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), "text", *(x.alias(k) for k, x in carried.items()))
+    joined = join_checked(wide, removals(rows, window, period), "row_key", "left", payload="starts")
     name = "kept_sha256" if digest else "kept_text"
-    return joined.select("doc_id", "text", "row_key", "starts", "ends").mapInArrow(
-        partial(_finish, digest=digest), f"doc_id long, row_key long, n_words long, n_removed long, {name} string"
-    )
+    kinds = "".join(f", {k} {joined.schema[k].dataType.simpleString()}" for k in carried)
+    told = joined.select("doc_id", "text", "starts", "ends", *carried).mapInArrow(partial(_finish, digest=digest), f"doc_id long, n_words long, n_removed long, {name} string{kinds}")
+    return told.withColumnsRenamed(dict(zip(carried, carry, strict=True)))
