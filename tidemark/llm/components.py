@@ -15,17 +15,15 @@ def components(links: DataFrame) -> DataFrame:
     and then the label of that label, so chains halve.  Labels of a node are
     combined map-side, hence a hub costs each task one row; the joins of links and
     labels shuffle both sides, so that adaptive execution can split a hub's links.
-    Each round is checkpointed; only a count of changes reaches the driver.
+    Each round is checkpointed; only whether a label moved reaches the driver.
     """
     both = checkpointed(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpointed(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).withColumnRenamed("a", "node"))
-    while True:
-        seen = both.join(labels.withColumnRenamed("node", "b").hint("merge"), "b").select(F.col("a").alias("node"), "label")
-        best = labels.unionByName(seen).groupBy("node").agg(F.min("label").alias("label"))
+    labels = both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).select(F.col("a").alias("node"), "label")
+    labels = checkpointed(labels.withColumn("moved", F.lit(True)))
+    while not labels.where("moved").isEmpty():
+        seen = both.join(labels.select(F.col("node").alias("b"), "label").hint("merge"), "b").select(F.col("a").alias("node"), "label", F.lit(None).cast("long").alias("own"))
+        best = labels.select("node", "label", F.col("label").alias("own")).unionByName(seen).groupBy("node").agg(F.min("label").alias("label"), F.min("own").alias("own"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        jumped = best.join(up.hint("merge"), "label").select("node", F.least("label", "above").alias("label"))
-        after = checkpointed(jumped)
-        moved = after.join(labels.withColumnRenamed("label", "before"), "node").where(F.col("label") != F.col("before"))
-        labels = after
-        if moved.isEmpty():
-            return labels.withColumnRenamed("label", "component")
+        jumped = best.join(up.hint("merge"), "label").select("node", F.least("label", "above").alias("label"), "own")
+        labels = checkpointed(jumped.select("node", "label", (F.col("label") != F.col("own")).alias("moved")))
+    return labels.select("node", F.col("label").alias("component"))

@@ -49,7 +49,7 @@ class Banding:
     percent: int = 80
     bands: int = 8
     rows: int = 2
-    chains: int = 3
+    chains: int = 2
     seed: int = 20240917
 
 
@@ -143,8 +143,7 @@ def chain(members: DataFrame, labels: DataFrame, halves: DataFrame, bands: int,
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs that are similar on full sets."""
-    named = [join_checked(sets, pairs.select(F.col(x).alias("doc_id")).distinct(), "doc_id", "left_semi") for x in ("node", "other")]
-    own, theirs = (part.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"of_{x}")) for part, x in zip(named, ("node", "other"), strict=True))
+    own, theirs = (sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"of_{x}")) for x in ("node", "other"))
     both = pairs.join(theirs.hint("merge"), "other").join(own.hint("merge"), "node")
     common, total = F.size(F.array_intersect("of_node", "of_other")), F.size("of_node") + F.size("of_other")
     return both.where(100 * common >= percent * (total - common)).select(F.col("node").alias("a"), F.col("other").alias("b"))

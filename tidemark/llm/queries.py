@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, near_dedup, oracle, packing, quality_classifier, quality_rules, substring_dedup, toxicity
+from . import language_id, media, near_dedup, oracle, packing, quality_classifier, quality_rules, sentencepiece_codec, substring_dedup, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.apply(table(spark, sf_dir, "documents"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.apply(table(spark, sf_dir, "documents"), digest=True)
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -24,6 +28,10 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.apply(table(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.by_lines(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.apply(table(spark, sf_dir, "documents"))
 
@@ -39,6 +47,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.apply(table(spark, sf_dir, "documents"))
 
 
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.apply(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.apply(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,16 +61,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_near_dedup": op3_near_dedup,
+    "op4_token_counts": op4_token_counts,
     "op5_language_id": op5_language_id,
     "op6_quality_rules": op6_quality_rules,
     "op7_packing": op7_packing,
+    "op8_media_columns": op8_media_columns,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": oracle.SUBSTRING_DEDUP,
+    "op3_near_dedup": oracle.NEAR_DEDUP,
     "op6_quality_rules": oracle.QUALITY_RULES,
 }
