@@ -1,10 +1,321 @@
-"""Registered queries over the driver tables, and the SQL that must give the same rows."""
+"""Registered queries over the driver tables, and the SQL that must give the same rows.
+
+The driver tables hold no review log, so each query first derives the review stream from
+``events`` (:func:`tidemark.sources.reviews.reviews_from_events`).  Residuals are summed as
+whole thousandths where a query allows it, so sums do not depend on their order and
+need no rounding to compare.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import scalars
+from ..operators import boost, calibrate, features, joins, metrics, splits, validate
+from ..operators import windows as W
+from ..sources import reviews as source
+from ..streaming import scorer
+from .nested import checkpointed, evaluate
+from .sql import BETA, SQL
+
+KEY = ("user", "review_th")
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
+
+
+def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source.reviews_from_events(events(spark, sf_dir)).withColumn("r_milli", (F.col("y") * 1000).cast("long") - F.col("p_milli"))
+
+
+def calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.with_calibrated(spine(spark, sf_dir), BETA)
+
+
+def spine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = reviews(spark, sf_dir)
+    r = F.col("r_milli")
+    return rows.withColumns({"x16": W.shrunk_mean(r, 16) / 1000, "x256": W.shrunk_mean(r, 256) / 1000})
+
+
+def r6(column: Column | str) -> Column:
+    """Rounded for comparison, without a negative zero."""
+    return F.round(F.col(column) if isinstance(column, str) else column, 6) + F.lit(0.0)
+
+
+def _shown(rows: DataFrame, **columns: Column) -> DataFrame:
+    return rows.select(*KEY, *(c.alias(n) for n, c in columns.items()))
+
+
+def reviews_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = reviews(spark, sf_dir).drop("p_milli", "r_milli")
+    return rows.withColumns({"elapsed_seconds": r6("elapsed_seconds"), "fold": F.col("fold").cast("long")})
+
+
+def cards_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = reviews(spark, sf_dir)
+    return joins.with_card_groups(rows, source.cards_from_reviews(rows)).select(*KEY, "card_id", "deck_id", "note_id")
+
+
+def calibrated_pb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(calibrated(spark, sf_dir), p_b=r6("p_b"), r_b=r6("r_b"))
+
+
+def spine_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(spine(spark, sf_dir), x16=F.col("x16"), x256=F.col("x256"))
+
+
+def surprise_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = features.with_surprise(reviews(spark, sf_dir), {"F": "r_milli"})
+    return _shown(rows, **{c: F.col(c) / 1000 for c in features.SURPRISE if c.startswith("sF")})
+
+
+def surprise_calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = features.with_surprise(calibrated(spark, sf_dir), {"B": "r_b"})
+    return _shown(rows, **{c: r6(c) for c in features.SURPRISE if c.startswith("sB")})
+
+
+def card_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = features.with_state(reviews(spark, sf_dir))
+    return _shown(rows, st_t=F.col("st_t").cast("long"), st_card_seq=F.col("st_card_seq").cast("long"), st_age_days=F.col("st_age_days"))
+
+
+def log_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = features.with_state(reviews(spark, sf_dir))
+    return _shown(rows, **{c: r6(c) for c in ("st_log_elapsed", "st_log_i", "st_log_t")})
+
+
+def deck_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(reviews(spark, sf_dir), dk_n_all=W.group_count("deck_id"), dk_acc_all=W.group_accuracy(F.col("r_milli"), "deck_id") / 1000)
+
+
+def deck_other(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(reviews(spark, sf_dir), dk_n_other=W.other_count("deck_id"), dk_acc_other=W.other_accuracy(F.col("r_milli"), "deck_id") / 1000)
+
+
+def note_other(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(reviews(spark, sf_dir), nt_n_other=W.other_count("note_id"), nt_acc_other=W.other_accuracy(F.col("r_milli"), "note_id") / 1000)
+
+
+def deck_since_other(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.with_days_since_other(reviews(spark, sf_dir)).select(*KEY, "dk_since_other")
+
+
+def deck_cards_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.with_cards_seen(reviews(spark, sf_dir)).select(*KEY, F.col("dk_cards_seen").cast("long").alias("dk_cards_seen"))
+
+
+def rating_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = features.with_stream(reviews(spark, sf_dir))
+    return _shown(rows, **{c: r6(c) for c in ("rt_mean8", "rt_mean32", "rt_fail32", "rt_sd32")})
+
+
+def rating_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.with_stream(reviews(spark, sf_dir)).select(*KEY, "rt_last")
+
+
+def streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = features.with_stream(reviews(spark, sf_dir))
+    return _shown(rows, **{c: F.col(c).cast("long") for c in ("rt_good_streak", "rt_lapse_streak")})
+
+
+def session_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = features.with_stream(reviews(spark, sf_dir))
+    return _shown(rows, sg_log_secs=r6("sg_log_secs"), sg_same_session=F.col("sg_same_session"), sg_prev_dur_log=r6("sg_prev_dur_log"))
+
+
+def chrono_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.with_fold(reviews(spark, sf_dir)).select(*KEY, "chrono_fold")
+
+
+def disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z0, z1 = scalars.logit(F.col("p_fsrs")), scalars.logit(F.col("p_b"))
+    logits = [z0, z1, z0 + 1.1 * F.col("x16"), 0.9 * z0 + F.col("x256")]
+    told = scalars.disagreement(logits, logits[3], z1, z0)
+    return _shown(calibrated(spark, sf_dir), **{n: c if n == "dg_n_above" else r6(c) for n, c in told.items()})
+
+
+def metric_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(reviews(spark, sf_dir), dt=scalars.elapsed_bin(F.col("elapsed_days")), ii=scalars.ordinal_bin(F.col("i")), ll=scalars.lapse_bin(F.col("lapse")))
+
+
+def user_logloss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both probabilities in one aggregate."""
+    rows = calibrated(spark, sf_dir)
+    losses = {n: r6(F.avg(metrics.row_loss(F.col("y"), F.col(p)))) for n, p in (("loss_base", "p_fsrs"), ("loss_calibrated", "p_b"))}
+    return rows.groupBy("user").agg(*(c.alias(n) for n, c in losses.items()), F.count(F.lit(1)).alias("size"))
+
+
+def user_rmse_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.binned_rmse(calibrated(spark, sf_dir), "p_b").select("user", r6("rmse_bins").alias("rmse_bins"))
+
+
+def user_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.auc(reviews(spark, sf_dir), "p_fsrs").select("user", r6("auc").alias("auc"))
+
+
+def user_mbe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = reviews(spark, sf_dir).withColumns({"p": F.col("p_milli"), "l": (F.col("y") * 1000).cast("long")})
+    return metrics.mean_bias(rows, "p", "l").select("user", r6(F.col("mbe") / 1000).alias("mbe"), "size")
+
+
+def equal_user_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = metrics.equal_user(metrics.per_user(calibrated(spark, sf_dir), "p_b"), ["log_loss", "rmse_bins", "auc"])
+    return told.select(*((r6(c) if c.startswith("mean") else F.col(c)).alias(c) for c in told.columns))
+
+
+def equal_user_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.row_weights(reviews(spark, sf_dir)).select(*KEY, r6("weight").alias("weight"))
+
+
+def _losses(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = calibrated(spark, sf_dir)
+    return metrics.log_loss(rows, "p_b"), metrics.log_loss(rows, "p_fsrs")
+
+
+def paired_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.paired(*_losses(spark, sf_dir), "log_loss").select("user", r6("delta").alias("delta"))
+
+
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reviews(spark, sf_dir).groupBy("user").agg(F.count(F.lit(1)).alias("size"))
+
+
+def volume_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.volume_split(_sizes(spark, sf_dir))
+
+
+def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.shard(_sizes(spark, sf_dir).select("user"), *splits.parse_shard("3/8"))
+
+
+def semi_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = reviews(spark, sf_dir)
+    folds = W.with_fold(rows).where("chrono_fold is not null").select(*KEY, F.col("chrono_fold").alias("fold"))
+    return joins.in_folds(rows.drop("fold"), folds).select(*KEY, F.col("fold").alias("test_fold"), r6("elapsed_seconds").alias("elapsed_seconds"))
+
+
+def resume_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = reviews(spark, sf_dir).select("user").distinct().withColumn("identity", F.lit("v1"))
+    done = users.where(F.col("user") % 3 == 0)
+    return joins.still_to_do(users, done).select("user")
+
+
+def deferred_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = reviews(spark, sf_dir).select("user").distinct()
+    return splits.without_deferred(users, users.where(F.col("user") % 10 == 7))[0]
+
+
+def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.violations(reviews(spark, sf_dir))
+
+
+def causality_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = reviews(spark, sf_dir).drop("p_milli", "r_milli")
+    return validate.causality(rows, lambda t: features.build(t, BETA), features.FEATURES, 20)
+
+
+def unmapped_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = reviews(spark, sf_dir)
+    told = validate.unmapped(joins.with_card_groups(rows, source.cards_from_reviews(rows)))
+    return told.withColumn("share", r6("share"))
+
+
+def row_index_contiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = reviews(spark, sf_dir).withColumn("row_index", W.position().cast("long"))
+    return validate.row_index_faults(rows)
+
+
+def split_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = reviews(spark, sf_dir).select("user").distinct()
+    listed = [r.user for r in users.collect()]  # users, whose splits are drawn on the driver
+    return splits.split_faults(splits.split_table(spark, splits.nested_splits(listed, 20)), users)
+
+
+def clip_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reviews(spark, sf_dir).agg(F.count_if(scalars.clipped(F.col("p_fsrs"), 0.1)).alias("hits"), F.count(F.lit(1)).alias("n"))
+
+
+def card_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.codes(reviews(spark, sf_dir), "card_id", "code").select(*KEY, F.col("code").cast("long").alias("code"))
+
+
+def hist_split_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sums of a first tree level over 16 equal bins of the base probability."""
+    rows = reviews(spark, sf_dir)
+    p = F.col("p_milli")
+    cells = rows.select(F.array(F.floor(F.col("p_fsrs") * 16).cast("short")).alias("bins"), (-F.col("r_milli")).alias("g"), (p * (1000 - p)).alias("h"))
+    told = boost.histograms(cells, [0], F.lit(0))
+    return told.select("bin", F.col("g").alias("g_milli"), F.col("h").alias("h_micro"), "n")
+
+
+def calibration_objective(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = calibrate.objective(calibrate.design(spine(spark, sf_dir)), BETA)
+    return told.select(*(r6(c).alias(c) for c in told.columns))
+
+
+def report_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reviews(spark, sf_dir).agg(F.countDistinct("user").alias("users"), F.count(F.lit(1)).alias("reviews"))
+
+
+def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 42 features of every row."""
+    rows = reviews(spark, sf_dir)
+    return features.build(rows.drop("p_milli", "r_milli"), BETA).select(*KEY, "p_b", *features.FEATURES)
+
+
+def calibration_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = calibrate.fit(spine(spark, sf_dir))
+    return spark.createDataFrame([(*found.beta, found.objective, found.users, found.rows)], "b0 double, b1 double, b2 double, objective double, users long, reviews long")
+
+
+def crossfit_betas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = checkpointed(spine(spark, sf_dir))
+    users = [r.user for r in rows.select("user").distinct().collect()]
+    return calibrate.cross_fit(rows, splits.nested_splits(users, 20)[0]["train"], 20)[0]
+
+
+def ridge_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coefficients of a penalised correction on the stream features, on top of the calibrated margin."""
+    told = features.with_stream(calibrated(spark, sf_dir)).withColumns({"z": scalars.logit(F.col("p_b"))})
+    told = checkpointed(metrics.row_weights(told).select("user", "y", "z", "weight", *features.STREAM))
+    told = calibrate.standardized(told, told, features.STREAM)
+    beta = calibrate.offset_regression(told, features.STREAM, "y", "z", "weight")
+    return spark.createDataFrame([(n, float(b)) for n, b in zip(features.STREAM, beta, strict=True)], "feature string, beta double")
+
+
+def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.bootstrap(joins.paired(*_losses(spark, sf_dir), "log_loss"), draws=500)
+
+
+def boost_fit_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One outer fold of the nested evaluation with a small booster: held-out metrics of the three probabilities."""
+    rows = reviews(spark, sf_dir).drop("p_milli", "r_milli")
+    return evaluate(rows, seed=20, folds=[0], settings=boost.Settings(rounds=4, depth=3, bins=32, eta=0.3, min_child_weight=5))
+
+
+def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Largest gap of every feature between the batch plan and the streaming scorer over the same rows."""
+    rows = reviews(spark, sf_dir).drop("p_milli", "r_milli")
+    online = scorer.replay(rows, BETA)
+    batch = features.build(rows, BETA, narrow=False)
+    return metrics.largest_gap(batch, online, ["p_b", *features.FEATURES])
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        reviews_base, cards_left_join, calibrated_pb, spine_windows, surprise_base, surprise_calibrated, card_state, log_state, deck_all, deck_other, note_other,
+        deck_since_other, deck_cards_seen, rating_windows, rating_lag, streaks, session_timing, chrono_folds, disagreement, metric_bins, user_logloss,
+        user_rmse_bins, user_auc, user_mbe, equal_user_summary, equal_user_weights, paired_delta, volume_split, shards, semi_folds, resume_anti,
+        deferred_difference, contract_violations, causality_check, unmapped_cards, row_index_contiguity, split_coverage, clip_hits, card_codes,
+        hist_split_stats, calibration_objective, report_total, feature_matrix, calibration_fit, crossfit_betas, ridge_correction, bootstrap_ci,
+        boost_fit_predict, stream_scores,
+    )
+}
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = SQL
