@@ -220,7 +220,7 @@ def _looked_up(sent: DataFrame, parts: int, low: int, high: int) -> DataFrame:
 
 def removals(rows: DataFrame, window: int, period: int) -> DataFrame:
     """Word intervals to remove, one row for each document that has any; ``rows`` as from :func:`keyed`."""
-    buckets, parts = bucket_count(rows), 2 * shuffle_partitions(rows.sparkSession)
+    buckets, parts = bucket_count(rows), shuffle_partitions(rows.sparkSession)
     sent = rows.mapInArrow(partial(_send_anchors, buckets=buckets, window=window, period=period), _SENT)
     around = _looked_up(sent, parts, 1 - period, 1)
     again = join_checked(rows, around, "row_key", "inner", payload="starts").select("doc_id", "text", "row_key", "starts", "ends")
