@@ -15,8 +15,10 @@ one length.  Units longer than ``LANE`` bytes go through :class:`Stream`.
 
 The model file may be of any SentencePiece type; its pieces and scores are used as a
 unigram lattice.  The shipped vocabulary was trained by merging, and merging does not
-maximise a sum, so ids equal those of the library when it is told to segment by
-unigram scores, not those of its merge order.  Decoding is the same for both.
+maximise a sum, so ids are those of a unigram segmentation (the best path of the
+library's own lattice), not those of its merge order.  Decoding is the same for both.
+Sums are kept in double precision, in which the large penalty of an unknown character
+does not blur later choices.
 
 Defined cases: null and empty texts have no ids; characters outside the vocabulary
 become byte pieces (or the unknown id where there are none); a literal space mark
@@ -43,7 +45,7 @@ LANE = 48
 SLICE = 4 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_NEVER = np.float32(-3e38)
+_NEVER = -1e300
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, bytes | int]]:
@@ -105,12 +107,12 @@ class Vocabulary:
                 self.prefix = bool(dict(_fields(value)).get(3, 1))
         self.normal = normal
         self.longest = max(map(len, normal))
-        self.penalty = np.float32(min(score for _, score in normal.values()) - 10)
+        self.penalty = min(score for _, score in normal.values()) - 10.0
         keys = np.array([_key(text) for text in normal], np.uint64)
         order = np.argsort(keys)
         self.keys = keys[order]
         self.numbers = np.array([n for n, _ in normal.values()], np.int32)[order]
-        self.values = np.array([s for _, s in normal.values()], np.float32)[order]
+        self.values = np.array([s for _, s in normal.values()])[order]
         self.bits = np.zeros(1 << 21, bool)
         self.bits[(self.keys >> np.uint64(43)).astype(np.int64)] = True
 
@@ -151,7 +153,7 @@ class Stream:
         self.vocab = vocab
         self.tail = b""  # bytes after the oldest boundary that a piece may still start from
         self.end = 0  # bytes seen
-        self.best = {0: np.float32(0)}  # score of each boundary in the window
+        self.best = {0: 0.0}  # score of each boundary in the window
         self.back: dict[int, tuple[int, bytes | int]] = {}  # boundary -> where its last piece starts, and the piece
         self.children = {0: 0}
         self.root = 0
@@ -187,9 +189,9 @@ class Stream:
             text = self.tail[size - (at - start) :]
             piece = self.vocab.normal.get(text)
             if piece:
-                total = np.float32(self.best[start] + np.float32(piece[1]))
+                total = self.best[start] + piece[1]
             elif _one_character(text):
-                total = np.float32(self.best[start] + self.vocab.penalty)
+                total = self.best[start] + self.vocab.penalty
             else:
                 continue
             if chosen is None or total > chosen[0]:
@@ -233,7 +235,7 @@ def encode_lanes(units: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.n
     prefix = np.zeros((size + 1, n), np.uint64)
     for t in range(size):
         prefix[t + 1] = prefix[t] * np.uint64(_BASE) + units[:, t] + np.uint64(1)
-    best = np.full((size + 1, n), _NEVER, np.float32)
+    best = np.full((size + 1, n), _NEVER)
     best[0] = 0
     step = np.zeros((size + 1, n), np.int32)
     number = np.zeros((size + 1, n), np.int32)
