@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
@@ -52,13 +52,27 @@ def with_state(rows: DataFrame) -> DataFrame:
 
 
 def with_groups(rows: DataFrame, frozen: bool = False) -> DataFrame:
+    """Deck and note history; windows of one key follow each other, so each key is sorted once."""
     r = F.col("r_b")
-    count, accuracy = (W.frozen_other_count, W.frozen_other_accuracy) if frozen else (W.other_count, W.other_accuracy)
-    rows = rows.withColumns({
-        "dk_n_all": W.count_before("deck_id").cast("double"), "dk_acc_all": W.group_accuracy(r, "deck_id"), "dk_n_other": count("deck_id").cast("double"),
-        "dk_acc_other": accuracy(r, "deck_id"), "nt_n_other": count("note_id").cast("double"), "nt_acc_other": accuracy(r, "note_id"),
-    })
-    return W.with_cards_seen(W.with_days_since_other(rows))
+    kept = rows.columns
+    for short, key in (("nt", "note_id"), ("dk", "deck_id")):
+        own = ("card_id",) if frozen else (key, "card_id")
+        rows = rows.withColumns({"_own_n": W.count_before(*own), "_own_sum": W.prefix_sum(r, *own)})
+        if short == "dk":
+            rows = rows.withColumn("_first", (F.row_number().over(W.stream(key, "card_id")) == 1).cast("long"))
+        told = {"_n": W.count_before(key), "_sum": W.prefix_sum(r, key)}
+        if short == "dk":
+            changed = F.lag("card_id").over(W.stream(key)) != F.col("card_id")
+            told |= {"dk_cards_seen": W.prefix_sum(F.col("_first"), key), "_ended": F.when(changed, F.lag("day_offset").over(W.stream(key)))}
+        rows = rows.withColumns(told)
+        other = F.col("_n") - F.col("_own_n")
+        features = {f"{short}_n_other": other.cast("double"), f"{short}_acc_other": (F.col("_sum") - F.col("_own_sum")) / (other + scalars.SHRINK)}
+        if short == "dk":
+            seen = F.last("_ended", ignorenulls=True).over(W.stream(key).rowsBetween(Window.unboundedPreceding, 0))
+            features |= {"dk_n_all": F.col("_n").cast("double"), "dk_acc_all": F.col("_sum") / (F.col("_n") + scalars.SHRINK)}
+            features["dk_since_other"] = F.coalesce(F.col("day_offset") - seen, F.lit(-1)).cast("double")
+        rows = rows.withColumns(features)
+    return rows.select(*kept, *GROUPS)
 
 
 def with_stream(rows: DataFrame) -> DataFrame:
@@ -75,7 +89,7 @@ def with_stream(rows: DataFrame) -> DataFrame:
 
 def build(rows: DataFrame, beta: tuple[float, float, float] | tuple[Column, Column, Column], frozen: bool = False, narrow: bool = True) -> DataFrame:
     """All features of all rows, the calibrated probability, and float32 features if ``narrow``."""
-    told = with_stream(with_groups(with_state(with_surprise(with_calibrated(with_spine(rows), beta))), frozen))
+    told = with_groups(with_state(with_stream(with_surprise(with_calibrated(with_spine(rows), beta)))), frozen)
     kept = [c for c in rows.columns if c not in FEATURES]
     features = [F.col(f).cast("float" if narrow else "double").alias(f) for f in FEATURES]
     return told.select(*kept, "p_b", *features)
