@@ -10,9 +10,9 @@ Documents with equal sets fall together first, by a 128-bit set hash, so a group
 of exact copies enters the tables once.
 
 Within a bucket no pairs are enumerated, so work is linear in the memberships.
-First every member is verified against one pivot, the member with the most company
-over all tables (in a family of edited copies that is close to the original).  Then,
-in buckets that still hold several components, the members are laid out by further
+First every member is verified against a few pivots, the members with the most company
+over all tables (in a family of edited copies these are closest to the original); they
+are found by a rank limit that Spark applies before the shuffle too.  Then, in buckets that still hold several components, the members are laid out by further
 half-keys, which puts the most similar ones side by side, and neighbours of different
 components are verified; this is repeated with other half-keys.
 
@@ -49,6 +49,7 @@ class Banding:
     percent: int = 80
     bands: int = 8
     rows: int = 2
+    pivots: int = 3
     chains: int = 2
     seed: int = 20240917
 
@@ -120,12 +121,14 @@ def table_members(classes: DataFrame) -> DataFrame:
     return keys.join(shared.hint("merge"), "bucket")
 
 
-def star(members: DataFrame) -> DataFrame:
-    """(node, other) for every member of a bucket but its pivot, the member with most company."""
+def star(members: DataFrame, pivots: int) -> DataFrame:
+    """(node, other) for every member of a bucket and each of its pivots, the members with most company."""
     company = members.groupBy("node").agg(F.count(F.lit(1)).alias("company"))
-    pivots = members.join(company.hint("merge"), "node").groupBy("bucket").agg(F.max(F.struct("company", "node")).alias("top"))
-    pivots = pivots.select("bucket", F.col("top.node").alias("other"))
-    return members.select("bucket", "node").join(pivots.hint("merge"), "bucket").where("node != other").select("node", "other").distinct()
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("company"), "node"))
+    chosen = members.select("bucket", "node").join(company.hint("merge"), "node").withColumn("rank", rank).where(F.col("rank") <= pivots)
+    chosen = chosen.select("bucket", F.col("node").alias("other"))
+    pairs = members.select("bucket", "node").join(chosen.hint("merge"), "bucket").where("node != other")
+    return pairs.select(F.greatest("node", "other").alias("node"), F.least("node", "other").alias("other")).distinct()
 
 
 def chain(members: DataFrame, labels: DataFrame, halves: DataFrame, bands: int, turn: int) -> DataFrame:
@@ -157,7 +160,7 @@ def link_classes(documents: DataFrame, classes: DataFrame, banding: Banding) ->
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     wanted = join_checked(rows, nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
     sets = checkpointed(wanted.mapInArrow(partial(_sets, shingle=banding.shingle), "doc_id long, shingles array<long>"))
-    links = checkpointed(verify(checkpointed(star(members)), sets, banding.percent))
+    links = checkpointed(verify(checkpointed(star(members, banding.pivots)), sets, banding.percent))
     labels = components(links)
     for turn in range(banding.chains):
         pairs = checkpointed(chain(members, labels, halves, banding.bands, turn))
