@@ -21,14 +21,15 @@ BUCKET_BYTES = 32 << 20
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the folder that the session names.
 
-    The last stage runs in two waves over the cluster's cores at most, so a checkpoint
-    makes few files however many shuffle partitions a session has.
+    The last stage runs in two waves over the cluster's cores, or in an eighth of the
+    shuffle partitions where that is more, so a checkpoint makes few files and its tasks
+    still shrink as a session with more data raises its shuffle partitions.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
-    return df.coalesce(max(2 * context.defaultParallelism, 2)).checkpoint()
+    return df.coalesce(max(2 * context.defaultParallelism, shuffle_partitions(df.sparkSession) // 8, 2)).checkpoint()
 
 
 def join_checked(big: DataFrame, small: DataFrame, on: str, how: str, payload: str | None = None) -> DataFrame:
