@@ -196,3 +196,32 @@ def test_held_users_cannot_change_the_model(spark: SparkSession) -> None:
     twisted = [[r | {"y": 1 - r["y"], "rating": 1.0} for r in own] if own[0]["user"] in split["held"] else own for own in rows]
     models = [nested.fit_fold(table(spark, *t), split, 1, boost.Settings(rounds=1, depth=1, bins=4, min_child_weight=1.0))[0] for t in (rows, twisted)]
     assert models[0].dumps() == models[1].dumps()
+
+
+def test_ablation_and_external_panel(spark: SparkSession) -> None:
+    from tidemark.plans import ablation
+
+    rows = table(spark, *(user_rows(u) for u in range(1, 9)))
+    told = ablation.ablation(rows, BETA, families=["spine", "stream"]).collect()
+    assert [(r.step, r.n_features) for r in told] == [("calibrated", 0), ("spine", 2), ("stream", 12)]
+    # four evaluation users of a nearly separable toy: ranks improve, confident mistakes cost log loss
+    assert told[0].delta is None and told[2].auc > told[0].auc
+    model = boost.fit(boost_rows(spark), boost_rows(spark), ["x16", "rt_last"], SMALL)
+    found = ablation.external(rows, {"boosted": model}, BETA)
+    assert found.groupBy("model").count().where("count = 8").count() == 3
+
+
+def test_job_driver(spark: SparkSession, tmp_path, capsys) -> None:
+    import json
+
+    from tidemark.__main__ import main
+
+    write_reviews(table(spark, *(user_rows(u, 24) for u in range(1, 17))), str(tmp_path / "r"))
+    with pytest.raises(SystemExit) as code:
+        main(["check", "--reviews", str(tmp_path / "r")])
+    assert not code.value.code
+    main(["score", "--reviews", str(tmp_path / "r"), "--out", str(tmp_path / "s"), "--rounds", "1"])
+    capsys.readouterr()
+    main(["report", "--reviews", str(tmp_path / "r"), "--out", str(tmp_path / "s")])
+    told = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
+    assert {(r["model"], r["metric"]) for r in told if r["n_users"] == 16} >= {("base", "log_loss"), ("boosted", "log_loss"), ("calibrated", "rmse_bins")}

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
@@ -18,6 +18,7 @@ from ..operators import boost, calibrate, features, joins, metrics, splits, vali
 from ..operators import windows as W
 from ..sources import reviews as source
 from ..streaming import scorer
+from .ablation import ablation
 from .nested import checkpointed, evaluate
 from .sql import BETA, SQL
 
@@ -298,6 +299,11 @@ def boost_fit_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate(rows, seed=20, folds=[0], settings=boost.Settings(rounds=4, depth=3, bins=32, eta=0.3, min_child_weight=5))
 
 
+def ablation_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature families added one after the other to a penalised correction."""
+    return ablation(reviews(spark, sf_dir).drop("p_milli", "r_milli"), BETA)
+
+
 def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Largest gap of every feature between the batch plan and the streaming scorer over the same rows."""
     rows = reviews(spark, sf_dir).drop("p_milli", "r_milli")
@@ -314,7 +320,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         user_rmse_bins, user_auc, user_mbe, equal_user_summary, equal_user_weights, paired_delta, volume_split, shards, semi_folds, resume_anti,
         deferred_difference, contract_violations, causality_check, unmapped_cards, row_index_contiguity, split_coverage, clip_hits, card_codes,
         hist_split_stats, calibration_objective, report_total, feature_matrix, calibration_fit, crossfit_betas, ridge_correction, bootstrap_ci,
-        boost_fit_predict, stream_scores,
+        boost_fit_predict, ablation_deltas, stream_scores,
     )
 }
 
