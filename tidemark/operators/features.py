@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from . import windows as W
 
+# The feature names of the data contract, in the order of the design matrix.
 SPINE = ["x16", "x256"]
-SURPRISE = [f"s{r}_{k}" for r in "FB" for k in ("mean16", "mean64", "max16", "max64", "last", "all")]
-STATE = ["st_i", "st_elapsed_days", "st_lapse", "st_t", "st_nth_today", "st_log_elapsed", "st_log_i", "st_log_t", "st_card_seq", "st_age_days"]
-GROUPS = ["dk_n_all", "dk_acc_all", "dk_n_other", "dk_acc_other", "dk_since_other", "dk_cards_seen", "nt_n_other", "nt_acc_other"]
-STREAM = ["rt_last", "rt_mean8", "rt_mean32", "rt_fail32", "rt_sd32", "rt_good_streak", "rt_lapse_streak", "sg_log_secs", "sg_same_session", "sg_prev_dur_log"]
+SURPRISE = [
+    "sF_mean16", "sF_max16", "sB_mean16", "sB_max16",
+    "sF_mean64", "sF_max64", "sB_mean64", "sB_max64",
+    "sF_last", "sB_last", "sF_all", "sB_all",
+]
+STATE = ["st_i", "st_elapsed_days", "st_lapse", "st_t", "st_card_seq", "st_age_days", "st_nth_today", "st_log_elapsed", "st_log_i", "st_log_t"]
+GROUPS = ["dk_acc_other", "dk_n_other", "dk_acc_all", "dk_n_all", "dk_cards_seen", "dk_since_other", "nt_acc_other", "nt_n_other"]
+STREAM = ["rt_mean8", "rt_mean32", "rt_sd32", "rt_last", "rt_fail32", "rt_good_streak", "rt_lapse_streak", "sg_log_secs", "sg_same_session", "sg_prev_dur_log"]
 FEATURES = SPINE + SURPRISE + STATE + GROUPS + STREAM
 #: Feature families that an ablation adds one after the other.
 FAMILIES = {"spine": SPINE, "surprise": SURPRISE, "state": STATE, "deck": GROUPS, "stream": STREAM}
