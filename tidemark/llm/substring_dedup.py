@@ -22,8 +22,9 @@ count and bytes, a shuffle join beyond.
 
 Defined cases: null text has no words and is kept as an empty text; documents
 shorter than a window lose nothing; rows that repeat a ``doc_id`` with the same
-text are separate documents that repeat each other; a null ``doc_id`` is told
-apart by its text; an empty table gives no rows.
+text are separate documents that repeat each other; rows that repeat a ``doc_id`` with
+another text share the union of their intervals, each within its own words; a null
+``doc_id`` is told apart by its text; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -143,6 +144,12 @@ def _intervals(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(x or b"" for x in raw), np.int32).astype(np.int64), np.array([len(x or b"") // 4 for x in raw], np.int64)
 
 
+def _within(words: Words, starts: np.ndarray, ends: np.ndarray, per: np.ndarray) -> np.ndarray:
+    """Words of a slice that their documents' intervals cover."""
+    base, stop = np.repeat(words.bounds[:-1], per), np.repeat(words.bounds[1:], per)
+    return covered(np.minimum(starts + base, stop), np.minimum(ends + base, stop), len(words.starts))
+
+
 def _send_windows(batches: Iterator[pa.RecordBatch], buckets: int, window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
@@ -150,8 +157,7 @@ def _send_windows(batches: Iterator[pa.RecordBatch], buckets: int, window: int)
             words = Words(*buffers(part.column(1)))
             starts, per = _intervals(part.column(3))
             ends, _ = _intervals(part.column(4))
-            base = np.repeat(words.bounds[:-1], per)
-            wanted = covered(starts + base, np.minimum(ends + base, np.repeat(words.bounds[1:], per)), len(words.starts))
+            wanted = _within(words, starts, ends, per)
             at = np.flatnonzero(wanted & (words.room() >= window))
             keys = mix(rolling(words.hashes(), window)[at] + np.uint64(window))
             document = words.documents()[at]
@@ -231,8 +237,7 @@ def removals(rows: DataFrame, window: int, period: int) -> DataFrame:
 def kept_texts(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Kept words of each document joined by single spaces: bytes and offsets, words and removed words."""
     words = Words(data, offsets)
-    base = np.repeat(words.bounds[:-1], per)
-    gone = covered(starts + base, ends + base, len(words.starts))
+    gone = _within(words, starts, ends, per)
     kept = np.flatnonzero(~gone)
     document = words.documents()[kept]
     inside = covered(words.starts[kept], words.ends[kept], len(data))
