@@ -20,7 +20,8 @@ All links are confirmed on full sets: 100 * intersection >= threshold * union.
 
 Defined cases: a text without words, or null, has the empty set and is linked
 with nothing; a text shorter than a shingle is one shingle; repeated rows of one
-``doc_id`` are one document; a null ``doc_id`` takes no part and has a null
+``doc_id`` are one document, which has the larger set and the smaller component if
+their texts differ; a null ``doc_id`` takes no part and has a null
 component; an empty table gives no rows.
 """
 
@@ -179,7 +180,8 @@ def apply(documents: DataFrame, banding: Banding = Banding()) -> DataFrame:
     owners = checkpointed(sketches.select("doc_id", "n_shingles", "set_a", "set_b").join(merged.hint("merge"), ["set_a", "set_b"]).select("doc_id", "n_shingles", "node"))
     classes = sketches.join(owners.where("doc_id = node").select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
     labels = link_classes(documents, classes.withColumnRenamed("doc_id", "node"), banding)
-    told = owners.join(labels.hint("merge"), "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id")).distinct()
+    told = owners.join(labels.hint("merge"), "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
+    told = told.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"))
     return (
         ids.select("doc_id").join(told, "doc_id", "left")
         .select("doc_id", F.coalesce("n_shingles", F.lit(0).cast("long")).alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
