@@ -263,6 +263,56 @@ def report_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reviews(spark, sf_dir).agg(F.countDistinct("user").alias("users"), F.count(F.lit(1)).alias("reviews"))
 
 
+def head_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.head(reviews(spark, sf_dir), 10).select(*KEY)
+
+
+def spaced_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.spaced_users(_sizes(spark, sf_dir).select("user"), 5)
+
+
+def standardized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratings moved and scaled by the rows of users with an even number."""
+    rows = reviews(spark, sf_dir)
+    told = calibrate.standardized(rows, rows.where(F.col("user") % 2 == 0), ["rating"])
+    return told.select(*KEY, r6("rating").alias("rating"))
+
+
+def size_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh user is expected to have one row more than it has."""
+    sizes = _sizes(spark, sf_dir)
+    expected = sizes.withColumn("size", F.col("size") + (F.col("user") % 7 == 0).cast("long"))
+    return joins.size_mismatches(sizes, expected).select("user", "size", "expected")
+
+
+def stored_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored probabilities by row number; rows of every fifth place are absent."""
+    rows = reviews(spark, sf_dir).withColumn("row_index", W.position().cast("long"))
+    stored = rows.where(F.col("row_index") % 5 != 0).select("user", "row_index", F.col("p_milli").alias("stored"))
+    return joins.with_stored(rows, stored, ["stored"]).select(*KEY, "stored", "complete")
+
+
+def misaligned_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables that must agree: one lacks its first rows and differs in every eleventh."""
+    rows = reviews(spark, sf_dir).select(*KEY, F.col("p_milli").alias("v"))
+    other = rows.where("review_th > 2").withColumn("v", F.when(F.col("review_th") % 11 == 0, F.col("v") + 1).otherwise(F.col("v")))
+    return joins.misaligned(rows, other, ["v"], KEY)
+
+
+def group_betas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coefficients by group of users; users of the last third have none."""
+    rows = reviews(spark, sf_dir).select("user").distinct()
+    groups = rows.where(F.col("user") % 3 < 2).groupBy((F.col("user") % 3).alias("g")).agg(F.collect_list("user").alias("users"))
+    groups = groups.select("users", *((F.col("g") + F.lit(k / 10)).alias(f"b{k}") for k in range(3)))
+    return joins.with_group_betas(rows, groups).select("user", *(r6(f"b{k}").alias(f"b{k}") for k in range(3)))
+
+
+def multiset_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users by rating, with repeats, against the same without everyone's first three rows."""
+    rows = reviews(spark, sf_dir)
+    return splits.multiset_difference(rows.select("user", "rating"), rows.where("review_th > 3").select("user", "rating"))
+
+
 def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 42 features of every row."""
     rows = reviews(spark, sf_dir)
@@ -319,7 +369,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         deck_since_other, deck_cards_seen, rating_windows, rating_lag, streaks, session_timing, chrono_folds, disagreement, metric_bins, user_logloss,
         user_rmse_bins, user_auc, user_mbe, equal_user_summary, equal_user_weights, paired_delta, volume_split, shards, semi_folds, resume_anti,
         deferred_difference, contract_violations, causality_check, unmapped_cards, row_index_contiguity, split_coverage, clip_hits, card_codes,
-        hist_split_stats, calibration_objective, report_total, feature_matrix, calibration_fit, crossfit_betas, ridge_correction, bootstrap_ci,
+        hist_split_stats, calibration_objective, report_total, head_rows, spaced_users, standardized, size_mismatches, stored_lookup, misaligned_rows, group_betas,
+        multiset_difference, feature_matrix, calibration_fit, crossfit_betas, ridge_correction, bootstrap_ci,
         boost_fit_predict, ablation_deltas, stream_scores,
     )
 }

@@ -185,4 +185,18 @@ SQL: dict[str, str] = {
         f" {r6('sum(w * (1 / (1 + exp(-z)) - y) * x16) / sum(w)')} AS g1, {r6('sum(w * (1 / (1 + exp(-z)) - y) * x256) / sum(w)')} AS g2 FROM d"
     ),
     "report_total": query(" SELECT count(DISTINCT \"user\") AS users, count(*) AS reviews FROM rv"),
+    "head_rows": query(f" SELECT {KEY} FROM rv WHERE t < 10"),
+    "spaced_users": query(", s AS (SELECT \"user\", row_number() OVER (ORDER BY \"user\") - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT \"user\" FROM rv)) SELECT \"user\" FROM s WHERE k % greatest(n // 5, 1) = 0 AND k // greatest(n // 5, 1) < 5"),
+    "standardized": query(
+        ", m AS (SELECT avg(rating) AS a, stddev_pop(rating) AS d FROM rv WHERE \"user\" % 2 = 0)"
+        f" SELECT {KEY}, {r6('(rating - a) / (d + 1e-9::DOUBLE)')} AS rating FROM rv, m"
+    ),
+    "size_mismatches": query(", s AS (SELECT \"user\", count(*) AS size FROM rv GROUP BY \"user\") SELECT \"user\", size, size + 1 AS expected FROM s WHERE \"user\" % 7 = 0"),
+    "stored_lookup": query(f" SELECT {KEY}, CASE WHEN t % 5 <> 0 THEN p_milli END AS stored, t % 5 <> 0 AS complete FROM rv"),
+    "misaligned_rows": query(f" SELECT {KEY}, p_milli AS v_left, CASE WHEN review_th > 2 THEN p_milli + 1 END AS v_right FROM rv WHERE review_th <= 2 OR review_th % 11 = 0"),
+    "group_betas": query(
+        ", s AS (SELECT DISTINCT \"user\", (\"user\" % 3)::DOUBLE AS g FROM rv)"
+        f" SELECT \"user\", {r6('CASE WHEN g < 2 THEN g END')} AS b0, {r6('CASE WHEN g < 2 THEN g + 0.1::DOUBLE END')} AS b1, {r6('CASE WHEN g < 2 THEN g + 0.2::DOUBLE END')} AS b2 FROM s"
+    ),
+    "multiset_difference": query(" SELECT \"user\", rating, 'left' AS side FROM (SELECT \"user\", rating FROM rv EXCEPT ALL SELECT \"user\", rating FROM rv WHERE review_th > 3)"),
 }
