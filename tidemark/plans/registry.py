@@ -135,7 +135,7 @@ def chrono_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     z0, z1 = scalars.logit(F.col("p_fsrs")), scalars.logit(F.col("p_b"))
-    logits = [z0, z1, z0 + 1.1 * F.col("x16"), 0.9 * z0 + F.col("x256")]
+    logits = [z0, z1, z0 + 1.0986122886681098 * F.col("x16"), 0.9 * z0 + F.col("x256")]
     told = scalars.disagreement(logits, logits[3], z1, z0)
     return _shown(calibrated(spark, sf_dir), **{n: c if n == "dg_n_above" else r6(c) for n, c in told.items()})
 

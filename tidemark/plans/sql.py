@@ -132,7 +132,7 @@ SQL: dict[str, str] = {
         f" SELECT {KEY}, CAST(CASE WHEN b > 0 AND t >= n - 5 * b THEN (t - (n - 5 * b)) // b END AS BIGINT) AS chrono_fold FROM z"
     ),
     "disagreement": query(
-        ", z AS (SELECT *, ln(p_fsrs / (1 - p_fsrs)) AS z0, ln(p_b / (1 - p_b)) AS z1, ln(p_fsrs / (1 - p_fsrs)) + 1.1::DOUBLE * x16 AS z2, 0.9::DOUBLE * ln(p_fsrs / (1 - p_fsrs)) + x256 AS z3 FROM pb),"
+        ", z AS (SELECT *, ln(p_fsrs / (1 - p_fsrs)) AS z0, ln(p_b / (1 - p_b)) AS z1, ln(p_fsrs / (1 - p_fsrs)) + 1.0986122886681098::DOUBLE * x16 AS z2, 0.9::DOUBLE * ln(p_fsrs / (1 - p_fsrs)) + x256 AS z3 FROM pb),"
         " m AS (SELECT *, (z0 + z1 + z2 + z3) / 4 AS mean FROM z)"
         f" SELECT {KEY}, {r6('z3 - z1')} AS dg_z_gap_b, {r6('z3 - z0')} AS dg_z_gap_fsrs,"
         f" {r6('sqrt(((z0 - mean) * (z0 - mean) + (z1 - mean) * (z1 - mean) + (z2 - mean) * (z2 - mean) + (z3 - mean) * (z3 - mean)) / 4)')} AS dg_var_std,"
