@@ -202,3 +202,14 @@ def test_patterns_use_every_piece() -> None:
         np.add.at(used, bin_, many)
     assert (used == counts).all()
     assert sum(many for _, many in found) <= -(-(counts * np.arange(256)).sum() // 256) * 1.01 + 1
+
+
+def test_shuffled_joins_give_the_same_rows(odd: DataFrame, monkeypatch: pytest.MonkeyPatch) -> None:
+    """The way beyond the broadcast limits."""
+    from tidemark.llm import shared
+
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", -1)
+    told = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.apply(odd, 12, 7, digest=True).collect()}
+    assert told == brute_substring(texts(), 12)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.apply(odd).collect()} == brute_near(texts())
+    assert check_packing(packing.apply(odd, 64).collect(), list(texts().values()), 64)
