@@ -183,6 +183,22 @@ def test_ids_are_those_of_the_tokenizers_file() -> None:
         assert own.encode_ordinary(text) == other.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_of_texts_with_the_added_token(spark: SparkSession) -> None:
+    """Pieces hold the ids of the tokenizers file where a text spells its added token."""
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    other = Tokenizer.from_file(packing.public_tokenizers.path("byte_bpe_50k.json"))
+    docs = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "a  <|endoftext|>  \n b", "<|endoftext", "é<|endoftext|>日本", "<|ENDOFTEXT|>", "x <|endoftext|>\n" * 90]
+    want = []
+    for k, text in enumerate(docs):
+        ids = [*other.encode(text, add_special_tokens=False).ids, packing.END_ID]
+        want += [(k, start, length, zlib.crc32(np.array(ids[start : start + length], "<u4").tobytes())) for start, length in packing.cut(len(ids), 64)]
+    told = packing.apply(spark.createDataFrame([(k, t, None, None, None) for k, t in enumerate(docs)], SCHEMA), 64)
+    assert sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in told.collect()) == sorted(want)
+
+
 def test_two_fit_improves_on_greedy() -> None:
     """Greedy takes 6 and 3 of 10; the 3 gives way to 2 + 2, which fill the sequence."""
     counts = np.zeros(10, np.int64)

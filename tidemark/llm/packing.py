@@ -23,9 +23,11 @@ rows are packed each on their own; an empty table gives no rows.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -45,10 +47,12 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 @lru_cache
 def encoding(ranks: str) -> tiktoken.Encoding:
-    """Byte-level BPE from a rank file; its ids are those of the tokenizers file with the same vocabulary."""
+    """Byte-level BPE from a rank file; its ids are those of the tokenizers file with the same vocabulary, added tokens included."""
     with open(ranks, "rb") as lines:
         table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+    with open(Path(ranks).with_suffix(".json"), encoding="utf-8") as file:
+        added = {token["content"]: token["id"] for token in json.load(file)["added_tokens"]}
+    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=added)
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -62,7 +66,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], ranks: str, capacity: int, end_id
     for batch in batches:
         rows: list[tuple] = []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            ids = np.array([*tokens.encode_ordinary(text.as_py() or ""), end_id], dtype="<u4")
+            ids = np.array([*tokens.encode(text.as_py() or "", allowed_special="all"), end_id], dtype="<u4")
             raw = memoryview(ids).cast("B")
             rows += ((doc_id, k, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)])) for k, (start, length) in enumerate(cut(len(ids), capacity)))
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
