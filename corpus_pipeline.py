@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and
 reread as the next stage's ``docs``.  Filtering stages take away the few ids they
 reject by an anti-join, which shuffles no text while these ids are few (the join is
-chosen by their counted size), and so a row without an id is never rejected.
+chosen by their counted size), and so a row without an id is never rejected; it goes
+only as a copy of another row.
 """
 
 from __future__ import annotations
@@ -33,9 +34,30 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _without(docs, found.where((F.col("lang_pred") == language_id.UNKNOWN) | (F.col("score") < MIN_LANGUAGE_SCORE)))
 
 
+def _told_apart(docs: DataFrame) -> DataFrame:
+    """One row for each id and text, with a ``row_key`` of its own.
+
+    The key is the id.  A row without an id, and all texts of an id but one, get a hash
+    beyond the ids, so that a row with an id is kept rather than its copy without one.
+    Only rows whose id is missing or repeated are shuffled with their text.
+    """
+    named = docs.where("doc_id is not null")
+    repeated = checkpointed(named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+    again = join_checked(named, repeated, "doc_id", "left_semi").select(docs.columns)
+    again = checkpointed(again.unionByName(docs.where("doc_id is null")).dropDuplicates(["doc_id", "text"]))
+    first = again.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("first"))
+    beyond = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    own = F.when(F.xxhash64("text") == F.col("first"), F.col("doc_id").cast("long")).otherwise(beyond)
+    again = again.join(first.hint("merge"), "doc_id", "left").select(*docs.columns, own.alias("row_key"))
+    single = join_checked(named, repeated, "doc_id", "left_anti").select(*docs.columns, F.col("doc_id").cast("long").alias("row_key"))
+    return single.unionByName(checkpointed(again))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return _without(docs, near_dedup.apply(docs).where("not kept"))
+    """One row of each group of near copies stays, repeated rows and rows without an id included."""
+    rows = _told_apart(docs)
+    copies = near_dedup.apply(rows.select(F.col("row_key").alias("doc_id"), "text")).where("not kept").select(F.col("doc_id").alias("row_key"))
+    return join_checked(rows, copies, "row_key", "left_anti").select(docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

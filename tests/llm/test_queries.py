@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import SparkSession
 
 import corpus_pipeline
+from tests.llm.conftest import SCHEMA, sentences
 from tests.llm.test_dedup_and_rules import brute_near, brute_substring, check_packing
 from tidemark.llm import oracle, queries
 
@@ -54,3 +55,15 @@ def test_pipeline_stages(spark: SparkSession, tmp_path) -> None:
             assert all(before[k] == t for k, t in after.items()) and len(after) > 0.8 * len(before)
     assert seen == ["quality rules", "language ID", "near-dedup", "substring dedup", "packing"]
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).drop("sequence_id", "offset").collect())) == sorted(map(tuple, docs.drop("sequence_id", "offset").collect()))
+
+
+def test_pipeline_keeps_one_copy_of_repeated_rows(spark: SparkSession) -> None:
+    """Repeated rows, copies without an id and other texts of an id: one row of each text reaches packing whole."""
+    a, b, c, d, e = (sentences(k, 12) for k in range(40, 45))
+    rows = [(1, a)] * 3 + [(None, a), (None, b), (None, b), (2, c), (3, c), (3, d), (3, d), (4, e), (None, e), (None, None), (5, None)]
+    docs = spark.createDataFrame([(k, t, "en", "s", None) for k, t in rows], SCHEMA).repartition(4)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, a), (None, b), (2, c), (3, d), (4, e), (None, None), (5, None)], key=str)
+    left = corpus_pipeline.drop_repeated_passages(spark, kept, SF).collect()
+    assert sorted(len(r.text.split()) for r in left) == sorted([0, 0, *(len(t.split()) for t in (a, b, c, d, e))])
