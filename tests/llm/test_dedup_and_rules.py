@@ -102,6 +102,22 @@ def test_near_dedup_of_a_large_family(spark: SparkSession) -> None:
     assert [(r.component_id, r.kept) for r in told if r.doc_id is None] == [(None, True)]
 
 
+def test_near_dedup_leaves_no_pair_of_a_bucket_out(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    """Copies with edits drawn from twenty common ones: each shares buckets with many others and links with few."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    rng = np.random.default_rng(5)
+    edits = rng.random((100, 20)) < 0.5
+    docs = {k: " ".join(f"{'e' if at % 8 == 4 and own[at // 8] else 'w'}{at}" for at in range(160)) for k, own in enumerate(edits)}
+    reach = (edits[:, None] != edits[None]).sum(axis=2) <= 4  # each edit is in four of 157 shingles
+    for _ in range(8):
+        reach = reach.astype(np.float32) @ reach.astype(np.float32) > 0
+    want = {k: (157, int(row.argmax())) for k, row in enumerate(reach)}
+    assert 20 < len({c for _, c in want.values()}) < 95
+    rows = spark.createDataFrame([(k, t, None, "s", None) for k, t in docs.items()], SCHEMA)
+    told = near_dedup.apply(rows, near_dedup.Banding(pivots=1, chains=0))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in told.collect()} == want
+
+
 def test_components_of_chains_and_stars(spark: SparkSession) -> None:
     links = [(k, k + 1) for k in range(1, 40)] + [(100, k) for k in range(101, 130)] + [(7, 7)]
     told = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}

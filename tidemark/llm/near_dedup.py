@@ -9,12 +9,17 @@ keys are all ``bands * bands`` pairs of one half-key from each family.  So
 Documents with equal sets fall together first, by a 128-bit set hash, so a group
 of exact copies enters the tables once.
 
-Within a bucket no pairs are enumerated, so work is linear in the memberships.
+Within a bucket links are found by ever dearer ways.
 First every member is verified against a few pivots, the members with the most company
 over all tables (in a family of edited copies these are closest to the original); they
 are found by a rank limit that Spark applies before the shuffle too.  Then, in buckets that still hold several components, the members are laid out by further
 half-keys, which puts the most similar ones side by side, and neighbours of different
-components are verified; this is repeated with other half-keys.
+components are verified; this is repeated with other half-keys.  Last, what still lies in
+different components of a bucket is verified pair by pair, so no pair that shares a bucket
+is left out: members outside a bucket's largest component meet all its members, each pair
+in the first bucket it shares, and large buckets in blocks.  Of these pairs only such are
+verified as can be links by an upper bound of the intersection: a bit map of ``BITS`` hash
+bins shows shingles that the other set cannot have.
 
 All links are confirmed on full sets: 100 * intersection >= threshold * union.
 
@@ -33,7 +38,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -41,6 +46,9 @@ from .shared import checkpointed, join_checked
 from .words import LOWER, Words, buffers, mix, rolling, run_hashes, slices
 
 _SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, firsts array<long>, seconds array<long>"
+#: Members of a bucket that one block of the last pass has on its smaller side.
+BLOCK = 2048
+BITS = 2048
 _SHORT = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -111,7 +119,14 @@ def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Record
     for batch in batches:
         for part in slices(batch):
             values, bounds = shingle_sets(*buffers(part.column(1)), shingle)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(values.view(np.int64)))], ["doc_id", "shingles"])
+            bits = np.zeros((len(bounds) - 1, BITS // 64), np.uint64)
+            bins = mix(values ^ np.uint64(BITS)) % np.uint64(BITS)
+            document = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+            np.bitwise_or.at(bits, (document, (bins >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bins & np.uint64(63)))
+            lists = [(bounds, values), (np.arange(0, bits.size + 1, BITS // 64), bits.ravel())]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), *(pa.ListArray.from_arrays(at.astype(np.int32), pa.array(x.view(np.int64))) for at, x in lists)], ["doc_id", "shingles", "bits"]
+            )
 
 
 def table_members(classes: DataFrame) -> DataFrame:
@@ -145,6 +160,35 @@ def chain(members: DataFrame, labels: DataFrame, halves: DataFrame, bands: int,
     return rows.where("component != beside").select(F.greatest("node", "other").alias("node"), F.least("node", "other").alias("other")).distinct()
 
 
+def _ones(bits: Column) -> Column:
+    return F.aggregate(bits, F.lit(0), lambda n, x: n + F.bit_count(x))
+
+
+def remaining(members: DataFrame, labels: DataFrame, halves: DataFrame, bands: int, percent: int) -> DataFrame:
+    """(node, other) for all pairs of different components that share a bucket and can be links by sizes and bits."""
+    rows = members.join(labels.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parts = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("n", "component")).alias("most"))
+    mixed = mixed.where("parts > 1").select("bucket", "most", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    rows = checkpointed(rows.join(mixed.hint("merge"), "bucket").join(halves.hint("merge"), "node"))
+    few = rows.where("component != most").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("blocks")
+    few = few.select("bucket", "block", *(F.col(c).alias(f"few_{c}") for c in ("node", "component", "n_shingles", "firsts", "seconds", "bits", "n_bits")))
+    every = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    both = every.join(few.hint("merge"), ["bucket", "block"])
+    # once only: of two small components from the smaller node, and in the first bucket of the pair
+    once = (F.col("component") == F.col("most")) | (F.col("few_node") < F.col("node"))
+    for half, at in (("firsts", F.floor(F.col("slot") / bands)), ("seconds", F.col("slot") % bands)):
+        for k in range(bands - 1):
+            once &= (at <= k) | (F.get(half, F.lit(k)) != F.get(f"few_{half}", F.lit(k)))
+    sizes = 100 * F.least("n_shingles", "few_n_shingles") >= percent * F.greatest("n_shingles", "few_n_shingles")
+    # bits that the other set lacks are as many shingles at least that it lacks
+    shared = _ones(F.zip_with("bits", "few_bits", lambda a, b: a.bitwiseAND(b)))
+    most = F.least(F.col("n_shingles") - F.col("n_bits"), F.col("few_n_shingles") - F.col("few_n_bits")) + shared
+    able = (100 + percent) * most >= percent * (F.col("n_shingles") + F.col("few_n_shingles"))
+    both = both.where((F.col("component") != F.col("few_component")) & sizes & once & able)
+    return both.select(F.greatest("node", "few_node").alias("node"), F.least("node", "few_node").alias("other"))
+
+
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs that are similar on full sets."""
     own, theirs = (sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"of_{x}")) for x in ("node", "other"))
@@ -157,19 +201,22 @@ def link_classes(documents: DataFrame, classes: DataFrame, banding: Banding) ->
     """(node, component) of all set classes that have a link."""
     members = checkpointed(table_members(classes))
     nodes = members.select("node").distinct()
-    halves = checkpointed(classes.select("node", "firsts", "seconds").join(nodes.hint("merge"), "node", "left_semi"))
+    halves = checkpointed(classes.select("node", "n_shingles", "firsts", "seconds").join(nodes.hint("merge"), "node", "left_semi"))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     wanted = join_checked(rows, nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
-    sets = checkpointed(wanted.mapInArrow(partial(_sets, shingle=banding.shingle), "doc_id long, shingles array<long>"))
+    sets = checkpointed(wanted.mapInArrow(partial(_sets, shingle=banding.shingle), "doc_id long, shingles array<long>, bits array<long>"))
     links = checkpointed(verify(checkpointed(star(members, banding.pivots)), sets, banding.percent))
     labels = components(links)
     for turn in range(banding.chains):
         pairs = checkpointed(chain(members, labels, halves, banding.bands, turn))
         if pairs.isEmpty():
-            break
+            return labels
         links = links.unionByName(checkpointed(verify(pairs, sets, banding.percent)))
         labels = components(links)
-    return labels
+    halves = halves.join(sets.select(F.col("doc_id").alias("node"), "bits", _ones(F.col("bits")).alias("n_bits")).hint("merge"), "node")
+    pairs = checkpointed(remaining(members, labels, halves, banding.bands, banding.percent))
+    more = checkpointed(verify(pairs, sets, banding.percent))
+    return labels if more.isEmpty() else components(links.unionByName(more))
 
 
 def apply(documents: DataFrame, banding: Banding = Banding()) -> DataFrame:
