@@ -51,6 +51,15 @@ def test_substring_dedup_of_repeated_rows_and_null_ids(spark: SparkSession) -> N
     assert all((r.n_removed == r.n_words) == (r.doc_id == 1) for r in told)
 
 
+def test_substring_dedup_tells_texts_of_one_id_apart(spark: SparkSession) -> None:
+    shared, own = sentences(21, 9), sentences(22, 12)
+    rows = [(1, shared), (2, shared), (1, own), (3, own + " x"), (4, sentences(23, 12))]
+    told = substring_dedup.apply(spark.createDataFrame([(k, t, None, None, None) for k, t in rows[:3] + rows[4:]], SCHEMA)).collect()
+    assert sorted((r.doc_id, r.n_removed > 0, r.n_words) for r in told) == sorted((k, t == shared, len(t.split())) for k, t in rows[:3] + rows[4:])
+    told = substring_dedup.apply(spark.createDataFrame([(k, t, None, None, None) for k, t in rows], SCHEMA)).collect()
+    assert all((r.n_removed > 0) == (r.doc_id != 4) for r in told)
+
+
 @pytest.mark.parametrize("period", [1, 2, 7, 13, 21])
 def test_difference_covers(period: int) -> None:
     cover = substring_dedup.difference_cover(period)
@@ -148,17 +157,39 @@ def test_quality_base_rules(odd: DataFrame, empty: DataFrame) -> None:
 
 
 def test_boilerplate_goes_and_copies_do_not_count(spark: SparkSession) -> None:
-    """A banner on thirty pages of one host is boilerplate there; thirty copies of one page are not."""
+    """A banner on thirty pages of one host is boilerplate there; thirty exact or near copies of one page are not."""
     rows = [(k, f"{sentences(k, 3)}\nAll  Rights reserved\n{sentences(1000 + k, 3)}", None, "a", None) for k in range(30)]
     rows += [(100 + k, sentences(77, 6), None, "a", None) for k in range(30)]
+    near = [sentences(78, 30).split("\n") for _ in range(60)]
+    for k, lines in enumerate(near):
+        lines[k % 30] += f" edit{k}"
+    rows += [(300 + k, "\n".join(lines), None, "a", None) for k, lines in enumerate(near)]
     rows += [(200, "all rights RESERVED\n" * 3 + "one two three four five six seven eight nine ten\none more", None, "a", None), (201, "All rights reserved\none two", None, "b", None)]
-    rows += [(202, "All rights reserved\nx y z", None, "a", None)] * 2
-    told = {r.doc_id: r for r in quality_rules.apply(spark.createDataFrame(rows, SCHEMA)).collect()}
+    rows += [(202, "All rights reserved\nx y z", None, "a", None)] * 2 + [(None, "All rights reserved\nx y", None, "a", None)]
+    table = spark.createDataFrame(rows, SCHEMA)
+    told = {r.doc_id: r for r in quality_rules.apply(table).collect()}
     assert all(told[k].n_lines_removed == 1 and told[k].n_line_words == 3 and told[k].kept for k in range(30))
-    assert all(told[100 + k].n_lines_removed == 0 and told[100 + k].kept for k in range(30))
+    assert all(told[k].n_lines_removed == 0 and told[k].kept for k in [*range(100, 130), *range(300, 360)])
     assert (told[200].n_lines_removed, told[200].n_line_words) == (1, 9)
     assert told[201].n_lines_removed == 0
-    assert told[202].depleted and told[202].n_line_words == 3
+    assert told[202].depleted and told[202].n_line_words == 3 and told[None].depleted
+    texts_ = {r[0]: r[1] for r in rows}
+    kept = {r.doc_id: r.kept_text for r in quality_rules.cleaned(table).collect()}
+    assert all(kept[k] == texts_[k].replace("\nAll  Rights reserved", "") for k in range(30))
+    assert all(kept[k] == texts_[k] for k in [*range(100, 130), *range(300, 360), 201])
+    assert kept[200] == "one two three four five six seven eight nine ten\none more" and kept[202] == "x y z"
+
+
+def test_footers_of_several_lines_and_repeated_rows(spark: SparkSession) -> None:
+    """Every line of a footer goes; repeats of one row neither add to the documents of a line nor hide it."""
+    footer = "contact us by mail\nsome rights reserved here\nback to the top"
+    rows = [(k, f"body {k} of page {k}\nwith words {k} own{k} more{k}\n{footer}", None, "a", None) for k in range(60)]
+    assert [r.n_lines_removed for r in quality_rules.apply(spark.createDataFrame(rows, SCHEMA)).collect()] == [3] * 60
+    rows = [(k, f"{sentences(k, 2)}\nshared line of all", None, "a", None) for k in range(30)]
+    told = quality_rules.apply(spark.createDataFrame(rows + rows[:1] * 60, SCHEMA)).collect()
+    assert len(told) == 90 and {r.n_lines_removed for r in told} == {1}
+    told = quality_rules.apply(spark.createDataFrame(rows[:15] * 6, SCHEMA)).collect()
+    assert {r.n_lines_removed for r in told} == {0}
 
 
 def check_packing(rows: list, docs: list[str | None], capacity: int) -> int:
@@ -240,7 +271,7 @@ def test_shuffled_joins_give_the_same_rows(odd: DataFrame, monkeypatch: pytest.M
     """The way beyond the broadcast limits."""
     from tidemark.llm import shared
 
-    monkeypatch.setattr(shared, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", -1)
     told = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.apply(odd, 12, 7, digest=True).collect()}
     assert told == brute_substring(texts(), 12)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.apply(odd).collect()} == brute_near(texts())

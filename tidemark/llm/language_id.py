@@ -6,16 +6,18 @@ response of every filter, and a softmax layer turns them into language
 probabilities.  A document's probabilities are those of its windows, weighted by
 their bytes; every byte of the text is in one window.
 
-The network is trained in numpy on the driver, on at most ``max_rows`` labelled
-documents in the order of a hash of their id, and ``windows_per_row`` windows of
-each.  Only text and the language label are learned from.
+The network is trained in numpy on the driver, on all windows of at most ``max_rows``
+labelled documents, taken in the order of a hash of their id.  Only text and the
+language label are learned from.
 
 At prediction time a filter over bytes is a sum of table look-ups (one entry per
 pair of bytes), so whole slices of documents are scored with three gathers a byte.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0; rows
-with a null label are not learned from; with no labelled rows at all every
-document is ``und``; repeated rows get equal rows; an empty table gives no rows.
+with a null label or id are not learned from, and of rows that repeat an id the smallest
+label and text is; with no labelled rows at all every document is ``und``; of equal
+probabilities the language that sorts first is predicted; repeated rows get equal rows;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fold
+from .shared import fold, one_row_an_id
 from .words import buffers, slices
 
 WIDTHS = (2, 3, 4)
@@ -41,8 +43,7 @@ class Settings:
     window: int = 256
     embed: int = 8
     filters: int = 8
-    max_rows: int = 4000
-    windows_per_row: int = 3
+    max_rows: int = 1500
     epochs: int = 8
     batch: int = 64
     rate: float = 0.01
@@ -149,30 +150,26 @@ class Scorer:
 
 
 def _sampled(batches: Iterator[pa.RecordBatch], settings: Settings) -> Iterator[pa.RecordBatch]:
-    """A few windows of each document, evenly spaced."""
+    """All windows of each document."""
     for batch in batches:
         for part in slices(batch):
-            windows, _, bounds = cut_windows(*buffers(part.column(1)), settings.window)
-            rows, told = [], []
-            for k in range(part.num_rows):
-                n = int(bounds[k + 1] - bounds[k])
-                for j in {(2 * i + 1) * n // (2 * settings.windows_per_row) for i in range(settings.windows_per_row)} if n else ():
-                    rows.append(k)
-                    told.append(windows[bounds[k] + j].tobytes())
-            if rows:
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), part.column(2).take(pa.array(rows)), pa.array(told, pa.binary())], ["doc_id", "lang", "window"])
+            windows, _, bounds = cut_windows(*buffers(part.column(2)), settings.window)
+            rows = pa.array(np.repeat(np.arange(part.num_rows), np.diff(bounds)))
+            number = pa.array(np.arange(len(rows)) - np.repeat(bounds[:-1], np.diff(bounds)))
+            raw = pa.Array.from_buffers(pa.binary(settings.window), len(rows), [None, pa.py_buffer(windows)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), number, raw], ["doc_id", "lang", "number", "window"])
 
 
 def fit(documents: DataFrame, settings: Settings = Settings()) -> Network | None:
     """Train on a bounded sample of the labelled documents outside the held-out fold."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
     labelled = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", settings.folds) != 0))
-    chosen = labelled.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(settings.max_rows).select("doc_id").distinct()
-    sample = labelled.join(F.broadcast(chosen), "doc_id", "left_semi")  # at most max_rows ids
-    found = sample.mapInArrow(partial(_sampled, settings=settings), "doc_id long, lang string, window binary").toPandas()
+    chosen = labelled.groupBy("doc_id").agg(F.lit(1)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.max_rows).select("doc_id")
+    sample = one_row_an_id(labelled.join(F.broadcast(chosen), "doc_id", "left_semi"))  # at most max_rows ids
+    found = sample.mapInArrow(partial(_sampled, settings=settings), "doc_id long, lang string, number long, window binary").toPandas()
     if found.empty:
         return None
-    found = found.sort_values(["doc_id", "window"], kind="stable")
+    found = found.sort_values(["doc_id", "number"], kind="stable")
     languages = sorted(set(found["lang"]))
     labels = np.searchsorted(languages, found["lang"].to_numpy(dtype=str))
     windows = np.frombuffer(b"".join(found["window"]), np.uint8).reshape(len(found), -1)
@@ -187,9 +184,10 @@ def _predict(batches: Iterator[pa.RecordBatch], net: Network | None, window: int
             names, scores = np.full(part.num_rows, UNKNOWN, dtype=object), np.zeros(part.num_rows)
             if scorer:
                 windows, filled, bounds = cut_windows(*buffers(part.column(1)), window)
-                total = np.concatenate([np.zeros((1, len(net.languages))), np.cumsum(scorer.windows(windows) * filled[:, None], axis=0)])
-                size = np.concatenate([[0], np.cumsum(filled)])
-                mean = (total[bounds[1:]] - total[bounds[:-1]]) / np.maximum(size[bounds[1:]] - size[bounds[:-1]], 1)[:, None]
+                mean, full = np.zeros((part.num_rows, len(net.languages))), np.flatnonzero(np.diff(bounds))
+                if len(full):
+                    starts = bounds[:-1][full]
+                    mean[full] = np.add.reduceat(scorer.windows(windows) * filled[:, None], starts, axis=0) / np.add.reduceat(filled, starts)[:, None]
                 best = mean.argmax(axis=1)
                 names[lettered] = np.array(net.languages, dtype=object)[best[lettered]]
                 scores[lettered] = np.clip(mean[np.arange(len(best)), best][lettered], 0, 1)

@@ -1,15 +1,17 @@
 """Media columns: Netpbm and BMP images as binary columns.
 
 Images are decoded to numpy arrays, resized by exact area averages taken from an
-integral image, written as NPY tiles, and given a difference hash.
+integral image, and written as NPY tiles, each with a difference hash.
 
 :func:`store` turns texts into images that hold their bytes losslessly as 8-bit
-samples, one row of 64 samples per 64 bytes: short payloads as binary graymaps, longer
-ones as 8-bit BMP with a gray palette.  :func:`describe` reads stored bytes back.
+samples, one row of 64 samples per 64 bytes: binary graymaps, or 8-bit BMP with a gray
+palette.  :func:`describe` reads stored bytes back, resizes the image to a square and
+cuts that into tiles; its feature is the difference hashes of all tiles in order.
 
 Defined cases: null text is an empty text, and an empty text is one row of zeros; a
-stored form that cannot be decoded gives null columns, not an error; repeated rows get
-equal rows; an empty table gives no rows.
+stored form that cannot be decoded gives null columns, not an error; equal neighbours
+leave their bit of a difference hash clear; repeated rows get equal rows; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -19,16 +21,20 @@ import io
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import slices
+
 ROW = 64
-#: Payloads of this many bytes or more are stored as BMP.
-BMP_FROM = 4096
-THUMB = 16
+#: Side of the resized square, and of its tiles.
+SIDE, TILE = 32, 16
+#: Stored bytes that a batch gathers before it goes on.
+BATCH_BYTES = 8 << 20
 
 
 def _header(data: bytes, n: int) -> tuple[list[int], int]:
@@ -148,60 +154,57 @@ def tiles(image: np.ndarray, size: int) -> Iterator[tuple[int, int, bytes, int]]
             yield y // size, x // size, npy(part), difference_hash(part)
 
 
-def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _stored(batches: Iterator[pa.RecordBatch], form: str) -> Iterator[pa.RecordBatch]:
+    encode = {"pgm": encode_pgm, "bmp": encode_bmp}[form]
     for batch in batches:
-        sizes, media, at = [], [], 0
-        texts = batch.column(1)
-        for k in range(batch.num_rows):
-            raw = (texts[k].as_py() or "").encode()
-            sizes.append(len(raw))
-            image = np.frombuffer(raw + bytes(-len(raw) % ROW if raw else ROW), np.uint8).reshape(-1, ROW)
-            media.append(encode_bmp(image) if image.size >= BMP_FROM else encode_pgm(image))
-            if sum(map(len, media)) > 8 << 20 if k % 256 == 255 else len(raw) > 8 << 20:
-                yield _stored_batch(batch, at, sizes, media)
-                at, sizes, media = k + 1, [], []
-        if sizes:
-            yield _stored_batch(batch, at, sizes, media)
-
-
-def _stored_batch(batch: pa.RecordBatch, at: int, sizes: list[int], media: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sizes)), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
-
-
-def store(documents: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and the stored image of every text."""
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_stored, "doc_id long, n_bytes long, media binary")
-
-
-_DESCRIBED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, height long, width long, tile binary"
+        for part in slices(batch, limit=BATCH_BYTES):
+            sizes, media = [], []
+            for text in part.column(1):
+                raw = (text.as_py() or "").encode()
+                sizes.append(len(raw))
+                media.append(encode(np.frombuffer(raw + bytes(-len(raw) % ROW if raw else ROW), np.uint8).reshape(-1, ROW)))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+
+
+def store(documents: DataFrame, form: str = "pgm") -> DataFrame:
+    """doc_id, n_bytes and the stored image of every text, in the one form asked for."""
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_stored, form=form), "doc_id long, n_bytes long, media binary")
+
+
+_DESCRIBED = (
+    "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, "
+    "height long, width long, tiles array<binary>, tile_hashes array<string>"
+)
+
+
+def described(data: bytes | None) -> tuple:
+    """What :func:`describe` tells of one stored image, from payload_bytes on."""
+    try:
+        image = decode(data)
+    except (ValueError, IndexError, TypeError, struct.error):
+        known = (None, None) if data is None else (len(data), hashlib.sha256(data).hexdigest())
+        return None, None, None, *known, None, None, None, None, None
+    payload = image.tobytes()
+    square = np.floor(resize_area(image, SIDE, SIDE) + 0.5).astype(np.uint8)
+    told = [(file, f"{hash_:016x}") for _, _, file, hash_ in tiles(square, TILE)]
+    return (
+        len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(),
+        "".join(h for _, h in told), *image.shape[:2], [file for file, _ in told], [h for _, h in told],
+    )
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in _DESCRIBED.split(", ")]
-    kinds = [pa.int64()] * 2 + [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.string())]
     for batch in batches:
-        rows = []
-        for media in batch.column(2):
-            data = media.as_py()
-            try:
-                image = decode(data)
-            except (ValueError, IndexError, TypeError, struct.error):
-                known = (None, None) if data is None else (len(data), hashlib.sha256(data).hexdigest())
-                rows.append((None, None, None, *known, None, None, None, None))
-                continue
-            payload = image.tobytes()
-            thumb = np.floor(resize_area(image, THUMB, THUMB) + 0.5).astype(np.uint8)
-            rows.append((
-                len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(),
-                f"{difference_hash(image):016x}", *image.shape[:2], npy(thumb),
-            ))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds[2:]))], names)
+        rows = [described(media.as_py()) for media in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names)
 
 
 def describe(stored: DataFrame) -> DataFrame:
-    """Read images back: payload and stored form digested, difference hash, size and an NPY tile of the resized image."""
+    """Read images back: payload and stored form digested, size, and the NPY tiles of the resized image with their difference hashes."""
     return stored.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("n_bytes").cast("long").alias("n_bytes"), "media").mapInArrow(_described, _DESCRIBED)
 
 
-def apply(documents: DataFrame) -> DataFrame:
-    return describe(store(documents))
+def apply(documents: DataFrame, form: str = "pgm") -> DataFrame:
+    return describe(store(documents, form))

@@ -13,7 +13,8 @@ Within a bucket links are found by ever dearer ways.
 First every member is verified against a few pivots, the members with the most company
 over all tables (in a family of edited copies these are closest to the original); they
 are found by a rank limit that Spark applies before the shuffle too.  Then, in buckets that still hold several components, the members are laid out by further
-half-keys, which puts the most similar ones side by side, and neighbours of different
+half-keys, which puts the most similar ones side by side (a large bucket in blocks of its
+first such half-key), and neighbours of different
 components are verified; this is repeated with other half-keys.  Last, what still lies in
 different components of a bucket is verified pair by pair, so no pair that shares a bucket
 is left out: members outside a bucket's largest component meet all its members, each pair
@@ -129,6 +130,11 @@ def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Record
             )
 
 
+def full_sets(rows: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, its sorted shingles and their bit map; ``rows`` has doc_id and text."""
+    return rows.select("doc_id", "text").mapInArrow(partial(_sets, shingle=shingle), "doc_id long, shingles array<long>, bits array<long>")
+
+
 def table_members(classes: DataFrame) -> DataFrame:
     """(bucket, slot, node) for every table key that two or more sets share; a slot numbers the pair of half-keys."""
     pairs = F.transform("firsts", lambda a: F.transform("seconds", lambda b: F.xxhash64(a, b)))
@@ -150,12 +156,13 @@ def star(members: DataFrame, pivots: int) -> DataFrame:
 def chain(members: DataFrame, labels: DataFrame, halves: DataFrame, bands: int, turn: int) -> DataFrame:
     """(node, other) for neighbours of different components in buckets laid out by half-keys other than their own."""
     rows = members.join(labels.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
+    mixed = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low != high")
+    mixed = mixed.select("bucket", F.ceil(F.col("n") / BLOCK).alias("blocks"))
     rows = rows.join(mixed.hint("merge"), "bucket").join(halves.hint("merge"), "node")
     i, j = F.floor(F.col("slot") / bands), F.col("slot") % bands
     keys = [F.get(half, ((at + 2 * turn + k) % bands).cast("int")) for k in (1, 2) for half, at in (("firsts", i), ("seconds", j))]
-    rows = rows.select("bucket", "node", "component", *(key.alias(f"key{k}") for k, key in enumerate(keys)))
-    order = Window.partitionBy("bucket").orderBy(*(f"key{k}" for k in range(len(keys))), "node")
+    rows = rows.select("bucket", "blocks", "node", "component", *(key.alias(f"key{k}") for k, key in enumerate(keys)))
+    order = Window.partitionBy("bucket", F.pmod(F.xxhash64("key0"), "blocks")).orderBy(*(f"key{k}" for k in range(len(keys))), "node")
     rows = rows.select("node", "component", F.lag("node").over(order).alias("other"), F.lag("component").over(order).alias("beside"))
     return rows.where("component != beside").select(F.greatest("node", "other").alias("node"), F.least("node", "other").alias("other")).distinct()
 
@@ -204,7 +211,7 @@ def link_classes(documents: DataFrame, classes: DataFrame, banding: Banding) ->
     halves = checkpointed(classes.select("node", "n_shingles", "firsts", "seconds").join(nodes.hint("merge"), "node", "left_semi"))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     wanted = join_checked(rows, nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
-    sets = checkpointed(wanted.mapInArrow(partial(_sets, shingle=banding.shingle), "doc_id long, shingles array<long>, bits array<long>"))
+    sets = checkpointed(full_sets(wanted, banding.shingle))
     links = checkpointed(verify(checkpointed(star(members, banding.pivots)), sets, banding.percent))
     labels = components(links)
     for turn in range(banding.chains):

@@ -43,12 +43,16 @@ five AS (SELECT doc_id, i, CASE WHEN i + 4 <= len(ws) THEN array_to_string(ws[i:
 counted AS (SELECT doc_id, i, CASE WHEN seq IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, seq) > 1 THEN 1 ELSE 0 END AS starts FROM five),
 inside AS (SELECT doc_id, max(starts) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS hit FROM counted),
 repeats AS (SELECT doc_id, CAST(sum(hit) AS BIGINT) AS n_repeat_words FROM inside GROUP BY doc_id),
-beside AS (SELECT doc_id, source, k, line, n, lag(line) OVER o AS before, lead(line) OVER o AS after FROM full_line WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
-own AS (SELECT doc_id, source, line, sum(n) AS n, arg_min(coalesce(before, ''), k) AS before, arg_min(coalesce(after, ''), k) AS after FROM beside GROUP BY doc_id, source, line),
-above AS (SELECT source, line FROM own GROUP BY source, line
-          HAVING count(*) > 20 AND greatest(count(DISTINCT before), count(DISTINCT after)) > 20 AND greatest(count(DISTINCT before), count(DISTINCT after)) >= 0.5 * count(*)),
-removed AS (SELECT o.doc_id, CAST(sum(o.n) AS BIGINT) AS n_line_words, count(*) AS n_lines_removed
-            FROM own o JOIN above a ON o.line = a.line AND o.source IS NOT DISTINCT FROM a.source GROUP BY o.doc_id),
+own AS (SELECT source, text, line, sum(n) AS n, min(k) AS k, any_value(n_words) AS n_words
+        FROM (SELECT DISTINCT f.source, w.text, f.k, f.line, f.n, len(w.ws) AS n_words FROM full_line f JOIN w USING (doc_id)) GROUP BY source, text, line),
+many AS (SELECT source, line FROM own GROUP BY source, line HAVING count(*) > 20),
+found AS (SELECT o.* FROM own o JOIN many m ON o.line = m.line AND o.source IS NOT DISTINCT FROM m.source),
+class AS (SELECT source, text, arg_max(line, (n, -k)) AS longest, sum(n) AS gone, any_value(n_words) AS n_words FROM found GROUP BY source, text),
+kind AS (SELECT source, text, CASE WHEN n_words - gone < 5 OR n_words - gone < 0.1 * n_words THEN 'copies ' || longest ELSE 'text ' || text END AS class FROM class),
+above AS (SELECT f.source, f.line FROM found f JOIN kind c ON f.text = c.text AND f.source IS NOT DISTINCT FROM c.source GROUP BY f.source, f.line HAVING count(DISTINCT class) > 20),
+gone AS (SELECT o.source, o.text, CAST(sum(o.n) AS BIGINT) AS n_line_words, count(*) AS n_lines_removed
+         FROM own o JOIN above a ON o.line = a.line AND o.source IS NOT DISTINCT FROM a.source GROUP BY o.source, o.text),
+removed AS (SELECT w.doc_id, n_line_words, n_lines_removed FROM w JOIN gone g ON w.text = g.text AND w.source IS NOT DISTINCT FROM g.source),
 told AS (SELECT w.doc_id, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
                 length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
                 coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,

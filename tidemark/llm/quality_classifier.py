@@ -5,14 +5,14 @@ A document is a bag of passages of ``passage`` words.  Each passage is encoded
 passages of the bag, and a logistic layer scores the weighted representation.
 Attention and encoder are learned together from document labels alone.
 
-Training runs in numpy on the driver, on at most ``max_rows`` labelled documents in
-the order of a hash of their id and at most ``max_passages`` evenly spaced passages
-of each; scoring encodes every passage of every whole text.
+Training runs in numpy on the driver, on every passage of at most ``max_rows`` labelled
+documents, taken in the order of a hash of their id; scoring encodes every passage of
+every whole text.
 
 Defined cases: null, empty and wordless texts are one passage of zeros, so they
-score like nothing; a document with several label rows counts with each; without
-labels every score is 0.5; repeated rows get equal rows; an empty table gives no
-rows.
+score like nothing; of several labels or texts of an id the smallest is learned from;
+without labels every score is 0.5; repeated rows get equal rows; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fold, pack
+from .shared import fold, one_row_an_id, pack
 from .words import LOWER, Words, buffers, hash_spans, mix, rolling, slices
 
 #: Byte classes whose share of a passage is a feature.
@@ -41,8 +41,7 @@ class Settings:
     passage: int = 64
     hidden: int = 16
     gates: int = 8
-    max_rows: int = 6000
-    max_passages: int = 32
+    max_rows: int = 4000
     epochs: int = 12
     batch: int = 64
     rate: float = 0.01
@@ -167,24 +166,22 @@ def train(bags: list[np.ndarray], labels: np.ndarray, settings: Settings) -> Mod
 def _bags(batches: Iterator[pa.RecordBatch], settings: Settings) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
-            x, bounds = encode(*buffers(part.column(1)), settings.passage)
-            told = []
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                take = min(b - a, settings.max_passages)
-                told.append(pack(x[a + (np.arange(take) * (b - a)) // take].astype(np.float32)))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(told, pa.binary())], ["doc_id", "quality", "bag"])
+            x, bounds = encode(*buffers(part.column(2)), settings.passage)
+            told = [pack(x[a:b].astype(np.float32)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(told, pa.binary())], ["doc_id", "quality", "bag"])
 
 
 def fit(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model | None:
     """Train on a bounded sample of labelled documents outside the held-out fold."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    marks = marks.where(F.col("quality").isNotNull() & (fold("doc_id", settings.folds) != 0))
-    marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(settings.max_rows)
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(marks), "doc_id")  # at most max_rows rows
-    found = rows.select("doc_id", "text", "quality").mapInArrow(partial(_bags, settings=settings), "doc_id long, quality int, bag binary").toPandas()
+    marks = one_row_an_id(marks.where(F.col("quality").isNotNull() & (fold("doc_id", settings.folds) != 0)))
+    marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.max_rows)
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(marks), "doc_id")  # at most max_rows ids
+    rows = one_row_an_id(rows.select("doc_id", "quality", "text"))
+    found = rows.mapInArrow(partial(_bags, settings=settings), "doc_id long, quality int, bag binary").toPandas()
     if found.empty:
         return None
-    found = found.sort_values(["doc_id", "quality", "bag"], kind="stable")
+    found = found.sort_values("doc_id", kind="stable")
     width = len(_CLASSES) + 10
     bags = [np.frombuffer(b, np.float32).reshape(-1, width).astype(float) for b in found["bag"]]
     return train(bags, found["quality"].to_numpy(float), settings)

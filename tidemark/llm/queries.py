@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import language_id, media, near_dedup, oracle, packing, quality_classifier, quality_rules, sentencepiece_codec, substring_dedup, token_counts, toxicity
 
@@ -49,7 +50,8 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media.apply(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    tiles = [F.size("tiles").alias("n_tiles"), F.sha2(F.concat(*(F.get("tiles", F.lit(k)) for k in range((media.SIDE // media.TILE) ** 2))), 256).alias("tiles_sha256")]
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", *tiles)
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

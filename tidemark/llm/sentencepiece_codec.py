@@ -2,27 +2,29 @@
 
 A text becomes the sequence of vocabulary pieces with the largest sum of scores.
 The search runs left to right.  A piece can only reach back ``longest`` bytes, so
-boundaries further back than that are settled through their descendants alone: the
-encoder keeps that window of scores, and whenever every surviving backpointer path
-passes through one boundary it commits the ids up to there and forgets them.
-
-:class:`Stream` does this for text that arrives in chunks of any size, in memory
-bounded by the window and the span not yet agreed on.  No piece has a space mark
-inside, so all paths always converge at the start of each space-led unit, and equal
-units have equal ids; whole documents are therefore cut into units, and the distinct
-units of a slice run side by side as numpy lanes, one step per byte for all units of
-one length.  Units longer than ``LANE`` bytes go through :class:`Stream`.
+boundaries further back than that are settled through their descendants alone:
+:class:`Stream` keeps that window of scores, and after every block of at most ``BLOCK``
+bytes it follows the surviving backpointer paths to the boundary where they all meet,
+commits the ids up to there and forgets them.  Memory is the window, a block and the
+span not yet agreed on, whatever the length of the text.
+
+All texts take this way.  Pieces that lie in a block are found for all its positions at
+once, length by length, as long as some piece goes on; the search itself then visits only
+these.  Where no piece has a space inside, all paths meet at the start of each space-led
+unit, and equal units have equal ids, so the distinct units of a slice of whole documents
+are streamed once, one after the other, and their ids dealt out to the documents.
 
 The model file may be of any SentencePiece type; its pieces and scores are used as a
 unigram lattice.  The shipped vocabulary was trained by merging, and merging does not
 maximise a sum, so ids are those of a unigram segmentation (the best path of the
 library's own lattice), not those of its merge order.  Decoding is the same for both.
-Sums are kept in double precision, in which the large penalty of an unknown character
-does not blur later choices.
+Sums are kept in double precision from the start of each unit, in which the large penalty
+of an unknown character does not blur later choices.
 
 Defined cases: null and empty texts have no ids; characters outside the vocabulary
 become byte pieces (or the unknown id where there are none); a literal space mark
-decodes to a space; an empty table gives no rows.
+decodes to a space; of equal sums the path whose last piece is longest wins; repeated
+rows get equal ids; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,11 +43,13 @@ from pyspark.sql import functions as F
 from .words import buffers, hash_spans, slices
 
 MARK = "▁".encode()
-LANE = 48
 SLICE = 4 << 20
+#: Bytes after which a stream commits what its paths agree on.
+BLOCK = 16 << 10
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_NEVER = -1e300
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_NEVER = float("-inf")
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, bytes | int]]:
@@ -105,19 +109,28 @@ class Vocabulary:
                 self.texts.append(text)
             elif field == 3:
                 self.prefix = bool(dict(_fields(value)).get(3, 1))
-        self.normal = normal
         self.longest = max(map(len, normal))
         self.penalty = min(score for _, score in normal.values()) - 10.0
-        keys = np.array([_key(text) for text in normal], np.uint64)
+        #: No piece goes on past a space that follows something else.
+        self.parted = not any(b" " in text.lstrip(b" ") for text in normal)
+        table = {}
+        for text, (number, score) in normal.items():
+            value = 0
+            for k, byte in enumerate(text):
+                value = (value * _BASE + byte + 1) & ((1 << 64) - 1)
+                table.setdefault((value, k + 1), (-1, 0.0))
+            table[value, len(text)] = (number, score)
+        values, lengths = (np.array(x, kind) for x, kind in zip(zip(*table, strict=True), (np.uint64, np.int64), strict=True))
+        keys = _finish(values, lengths.astype(np.uint64))
         order = np.argsort(keys)
         self.keys = keys[order]
-        self.numbers = np.array([n for n, _ in normal.values()], np.int32)[order]
-        self.values = np.array([s for _, s in normal.values()])[order]
+        self.numbers = np.array([n for n, _ in table.values()], np.int64)[order]
+        self.values = np.array([x for _, x in table.values()])[order]
         self.bits = np.zeros(1 << 21, bool)
         self.bits[(self.keys >> np.uint64(43)).astype(np.int64)] = True
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of the keys that are pieces, and their places in the tables."""
+        """Positions of the keys that are pieces or begin one, and their places in the tables."""
         maybe = np.flatnonzero(self.bits[(keys >> np.uint64(43)).astype(np.int64)])
         at = np.minimum(np.searchsorted(self.keys, keys[maybe]), len(self.keys) - 1)
         hit = self.keys[at] == keys[maybe]
@@ -129,15 +142,8 @@ class Vocabulary:
         return [self.unknown] if min(ids) < 0 else ids
 
 
-def _key(text: bytes) -> int:
-    value = 0
-    for byte in text:
-        value = (value * _BASE + byte + 1) & ((1 << 64) - 1)
-    return _finish(np.array([value], np.uint64), len(text))[0]
-
-
-def _finish(values: np.ndarray, length: int) -> np.ndarray:
-    values = (values + np.uint64(length)) * np.uint64(0xBF58476D1CE4E5B9)
+def _finish(values: np.ndarray, length: np.ndarray | np.uint64) -> np.ndarray:
+    values = (values + length) * np.uint64(0xBF58476D1CE4E5B9)
     return values ^ (values >> np.uint64(29)) ^ (values << np.uint64(17))
 
 
@@ -146,141 +152,143 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+@lru_cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse."""
+    return tuple(np.cumprod(np.array([1] + [x] * (n - 1), np.uint64), dtype=np.uint64) for x in (_BASE, _INVERSE))
+
+
+def arcs(text: np.ndarray, after: int, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end, score and id of all pieces in whole characters that end beyond ``after``, by end, the longest first.
+
+    A character outside the vocabulary is an arc with the id -1 - its bytes as a number.
+    """
+    n = len(text)
+    heads = np.append((text & 0xC0) != 0x80, True)
+    power, inverse = _powers(1 << (n + 1).bit_length())
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((text.astype(np.uint64) + np.uint64(1)) * inverse[:n], dtype=np.uint64)])
+    live, found = np.flatnonzero(heads[:n]), []
+    known = np.zeros(n + 1, bool)
+    next_head = np.append(live[1:], n)
+    width = np.zeros(n + 1, np.int64)
+    width[live] = next_head - live
+    characters = live
+    for length in range(1, min(vocab.longest, n) + 1):
+        live = live[live + length <= n]
+        if not len(live):
+            break
+        end = live + length
+        hit, at = vocab.find(_finish((total[end] - total[live]) * power[end - 1], np.uint64(length)))
+        live, end = live[hit], end[hit]
+        whole = (vocab.numbers[at] >= 0) & heads[end]
+        known[live[whole & (width[live] == length)]] = True
+        told = whole & (end > after)
+        found.append((live[told], end[told], vocab.values[at[told]], vocab.numbers[at[told]]))
+    lone = characters[~known[characters] & (characters + width[characters] > after)]
+    code = np.zeros(len(lone), np.int64)
+    for k in range(4):
+        more = width[lone] > k
+        code[more] = code[more] * 256 + text[lone[more] + k]
+    found.append((lone, lone + width[lone], np.full(len(lone), vocab.penalty), -1 - code))
+    start, end, score, number = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((start, end))
+    return start[order], end[order], score[order], number[order]
+
+
 class Stream:
-    """Streaming encoder; feed it UTF-8 bytes and take the ids that are certain."""
+    """Streaming encoder; feed it UTF-8 bytes and take the ids that are certain, each with the place where its piece ends."""
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
-        self.tail = b""  # bytes after the oldest boundary that a piece may still start from
-        self.end = 0  # bytes seen
-        self.best = {0: 0.0}  # score of each boundary in the window
-        self.back: dict[int, tuple[int, bytes | int]] = {}  # boundary -> where its last piece starts, and the piece
-        self.children = {0: 0}
-        self.root = 0
-
-    def feed(self, data: bytes) -> list[int]:
-        out: list[int] = []
-        for byte in data:
-            self.tail += bytes([byte])
-            self.end += 1
-            self._reach(self.end)
-            low = self.end - self.vocab.longest
-            self.tail = self.tail[-self.vocab.longest :]
-            self._forget(low)
-            self._commit(out)
-        return out
-
-    def close(self) -> list[int]:
+        self.tail = np.zeros(0, np.uint8)  # the bytes that a later piece may still hold
+        self.opens = np.zeros(0, bool)  # which of them begin a unit
+        self.rest = np.zeros(0, np.uint8)  # a character that is not whole yet
+        self.best = [0.0]  # score of each boundary in the window
+        self.end = self.root = 0  # bytes taken, and committed
+        self.origin, self.piece = [0], [0]  # for each boundary from the root on, where its last piece starts, and its id
+
+    def feed(self, data: bytes | np.ndarray, opens: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids that are certain now.  ``opens`` tells which bytes no piece may reach over to; by default they follow from the spaces."""
+        data = np.concatenate([self.rest, np.frombuffer(data, np.uint8) if isinstance(data, bytes) else data])
+        first = np.flatnonzero((data[-4:] & 0xC0) != 0x80)
+        whole = len(data)
+        if len(first):
+            at = max(len(data) - 4, 0) + int(first[-1])
+            lead = data[at]
+            if at + (1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4) > len(data):
+                whole = at
+        self.rest, data = data[whole:], data[:whole]
+        if opens is None:
+            space = data == 32
+            before = np.concatenate([self.tail[-1:] == 32, space[:-1]])[: len(data)] if len(self.tail) else np.concatenate([[True], space[:-1]])[: len(data)]
+            opens = space & ~before if self.vocab.parted else np.zeros(len(data), bool)
+        heads = np.append((data & 0xC0) != 0x80, True)
+        told, at = [], 0
+        while at < len(data):
+            to = min(at + BLOCK, len(data))
+            while not heads[to]:
+                to += 1
+            self._block(data[at:to], opens[at:to])
+            told.append(self._commit())
+            at = to
+        return _joined(told)
+
+    def close(self) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the best path to the end."""
-        out: list[int] = []
-        path, at = [], self.end
+        return self._path(self.end)
+
+    def _block(self, data: np.ndarray, opens: np.ndarray) -> None:
+        text, opens = np.concatenate([self.tail, data]), np.concatenate([self.opens, opens])
+        old, n = len(self.tail), len(text)
+        start, end, score, number = arcs(text, old, self.vocab)
+        units = np.flatnonzero(opens)
+        if len(units):
+            beyond = np.append(units, n)[np.searchsorted(units, start, side="right")]
+            inside = end <= beyond
+            start, end, score, number = start[inside], end[inside], score[inside], number[inside]
+        # the start of a unit counts from 0 anew, at a place of its own
+        source = np.where(np.append(opens, False)[start], start + n + 1, start)
+        best = [*self.best, *[_NEVER] * (n - old), *[0.0] * (n + 1)]
+        origin, piece = [0] * (n + 1), [0] * (n + 1)
+        for a, s, b, x, k in zip(source.tolist(), start.tolist(), end.tolist(), score.tolist(), number.tolist(), strict=True):
+            total = best[a] + x
+            if total > best[b]:
+                best[b], origin[b], piece[b] = total, s, k
+        base = self.end - old
+        self.origin += [base + x for x in origin[old + 1 :]]
+        self.piece += piece[old + 1 :]
+        self.end += n - old
+        keep = min(n, self.vocab.longest)
+        self.tail, self.opens, self.best = text[n - keep :], opens[n - keep :], best[n - keep : n + 1]
+
+    def _commit(self) -> tuple[np.ndarray, np.ndarray]:
+        low = self.end - len(self.tail)
+        reached = {low + k for k, x in enumerate(self.best) if x > _NEVER and (low + k > self.end - self.vocab.longest or low == 0)}
+        while len(reached) > 1:
+            latest = max(reached)
+            reached.remove(latest)
+            reached.add(self.origin[latest - self.root])
+        (meeting,) = reached
+        if meeting <= self.root:
+            return _joined([])
+        told = self._path(meeting)
+        self.origin, self.piece = self.origin[meeting - self.root :], self.piece[meeting - self.root :]
+        self.root = meeting
+        return told
+
+    def _path(self, at: int) -> tuple[np.ndarray, np.ndarray]:
+        ids, ends = [], []
         while at != self.root:
-            at, piece = self.back[at]
-            path.append(piece)
-        for piece in reversed(path):
-            self._tell(piece, out)
-        return out
-
-    def _reach(self, at: int) -> None:
-        chosen, size = None, len(self.tail)
-        for start in range(max(at - size, 0), at):
-            if start not in self.best:
-                continue
-            text = self.tail[size - (at - start) :]
-            piece = self.vocab.normal.get(text)
-            if piece:
-                total = self.best[start] + piece[1]
-            elif _one_character(text):
-                total = self.best[start] + self.vocab.penalty
-            else:
-                continue
-            if chosen is None or total > chosen[0]:
-                chosen = (total, start, piece[0] if piece else text)
-        if chosen:
-            self.best[at], self.back[at] = chosen[0], chosen[1:]
-            self.children[at] = 0
-            self.children[chosen[1]] += 1
-
-    def _forget(self, low: int) -> None:
-        """A boundary that no later piece can start from lives on only through its descendants."""
-        for at in [x for x in self.best if x <= low]:
-            del self.best[at]
-            while at != self.root and at not in self.best and not self.children[at]:
-                above = self.back.pop(at)[0]
-                del self.children[at]
-                self.children[above] -= 1
-                at = above
-
-    def _commit(self, out: list[int]) -> None:
-        while self.root not in self.best and self.children[self.root] == 1:
-            below = next(at for at, (start, _) in self.back.items() if start == self.root)
-            self._tell(self.back.pop(below)[1], out)
-            del self.children[self.root]
-            self.root = below
-
-    def _tell(self, piece: bytes | int, out: list[int]) -> None:
-        out += self.vocab.spelled(piece) if isinstance(piece, bytes) else [piece]
-
-
-def _one_character(text: bytes) -> bool:
-    first = text[0]
-    size = 1 if first < 0x80 else 2 if 0xC0 <= first < 0xE0 else 3 if 0xE0 <= first < 0xF0 else 4 if first >= 0xF0 else 0
-    return len(text) == size
-
-
-def encode_lanes(units: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of n units of one length, as one array, and how many each unit has."""
-    n, size = units.shape
-    heads = (units & 0xC0) != 0x80
-    prefix = np.zeros((size + 1, n), np.uint64)
-    for t in range(size):
-        prefix[t + 1] = prefix[t] * np.uint64(_BASE) + units[:, t] + np.uint64(1)
-    best = np.full((size + 1, n), _NEVER)
-    best[0] = 0
-    step = np.zeros((size + 1, n), np.int32)
-    number = np.zeros((size + 1, n), np.int32)
-    for t in range(1, size + 1):
-        ends = heads[:, t] if t < size else np.ones(n, bool)
-        for length in range(min(t, vocab.longest), 0, -1):  # ties go to the longest piece
-            start = t - length
-            live = np.flatnonzero(ends & (best[start] > _NEVER))
-            if not len(live):
-                continue
-            keys = _finish(prefix[t, live] - prefix[start, live] * np.uint64(pow(_BASE, length, 1 << 64)), length)
-            hit, at = vocab.find(keys)
-            where, totals, told = live[hit], best[start, live[hit]] + vocab.values[at], vocab.numbers[at]
-            if length <= 4:
-                alone = np.ones(len(live), bool)
-                alone[hit] = False
-                lone = live[alone & heads[live, start] & ~heads[live, start + 1 : t].any(axis=1)]
-                where, totals = np.concatenate([where, lone]), np.concatenate([totals, best[start, lone] + vocab.penalty])
-                told = np.concatenate([told, np.full(len(lone), -1, np.int32)])
-            better = totals > best[t, where]
-            where = where[better]
-            best[t, where], step[t, where], number[t, where] = totals[better], length, told[better]
-    # walk back: every lane notes its ids from the end
-    place, counts, notes = np.full(n, size), np.zeros(n, np.int64), []
-    live = np.arange(n)
-    while len(live):
-        piece, length = number[place[live], live], step[place[live], live]
-        lost = piece < 0
-        for k in range(4):  # an unknown character tells its bytes, last byte first
-            spelled = np.flatnonzero(lost & (length > k))
-            if k == 0:
-                notes.append((live[~lost], piece[~lost]))
-            if len(spelled):
-                ids = vocab.byte_ids[units[live[spelled], place[live[spelled]] - 1 - k]]
-                if (vocab.byte_ids >= 0).all():
-                    notes.append((live[spelled], ids))
-                elif k == 0:
-                    notes.append((live[spelled], np.full(len(spelled), vocab.unknown, np.int32)))
-        place[live] -= length
-        live = live[place[live] > 0]
-    lanes = np.concatenate([x for x, _ in notes])
-    ids = np.concatenate([x for _, x in notes])
-    order = np.argsort(lanes[::-1], kind="stable")
-    counts = np.bincount(lanes, minlength=n)
-    return ids[::-1][order], counts
+            number = self.piece[at - self.root]
+            spelled = [number] if number >= 0 else self.vocab.spelled((-1 - number).to_bytes(4, "big").lstrip(b"\0") or b"\0")
+            ids += spelled[::-1]
+            ends += [at] * len(spelled)
+            at = self.origin[at - self.root]
+        return np.array(ids[::-1], np.int32), np.array(ends[::-1], np.int64)
+
+
+def _joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([np.zeros(0, np.int32), *(x for x, _ in parts)]), np.concatenate([np.zeros(0, np.int64), *(x for _, x in parts)])
 
 
 def encode_slice(data: np.ndarray, offsets: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -292,13 +300,13 @@ def encode_slice(data: np.ndarray, offsets: np.ndarray, vocab: Vocabulary) -> tu
         lengths = lengths + (lengths > 0)
     raw = data.tobytes()
     if MARK in raw:  # a literal mark is a space
-        texts = [raw[a : a + b].replace(MARK, b" ") for a, b in zip(np.cumsum(lengths) - lengths, lengths, strict=True)]
+        bounds = np.cumsum(lengths) - lengths
+        texts = [raw[a : a + b].replace(MARK, b" ") for a, b in zip(bounds, lengths, strict=True)]
         lengths = np.array([len(x) for x in texts], np.int64)
         data = np.frombuffer(b"".join(texts), np.uint8)
-        raw = data.tobytes()
     bounds = np.concatenate([[0], np.cumsum(lengths)])
     space = data == 32
-    opens = space.copy()
+    opens = space.copy() if vocab.parted else np.zeros(len(data), bool)
     opens[1:] &= ~space[:-1]
     opens[bounds[:-1][lengths > 0]] = True
     starts = np.flatnonzero(opens)
@@ -308,27 +316,16 @@ def encode_slice(data: np.ndarray, offsets: np.ndarray, vocab: Vocabulary) -> tu
         return np.zeros(0, np.int32), np.zeros(len(lengths) + 1, np.int64)
     _, first, which = np.unique(hash_spans(data, starts, ends), return_index=True, return_inverse=True)
     begin, size = starts[first], (ends - starts)[first]
-    counts, found = np.zeros(len(first), np.int64), []
-    for length in np.unique(size):
-        own = np.flatnonzero(size == length)
-        if length <= LANE:
-            for block in np.array_split(own, -(-len(own) // 20_000)):
-                ids, n = encode_lanes(data[begin[block][:, None] + np.arange(length)], vocab)
-                counts[block] = n
-                found.append((np.repeat(block, n), ids))
-        else:
-            for k in own:
-                stream = Stream(vocab)
-                ids = stream.feed(raw[begin[k] : begin[k] + length]) + stream.close()
-                counts[k] = len(ids)
-                found.append((np.full(len(ids), k), np.array(ids, np.int32)))
-    owner, ids = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
-    ids = ids[np.argsort(owner, kind="stable")]
-    at = np.concatenate([[0], np.cumsum(counts)])
-    size = counts[which]
+    at = np.concatenate([[0], np.cumsum(size)])
+    units = data[np.repeat(begin - at[:-1], size) + np.arange(at[-1])]
+    fresh = np.zeros(len(units), bool)
+    fresh[at[:-1]] = True
+    stream = Stream(vocab)
+    ids, places = _joined([stream.feed(units, fresh), stream.close()])
+    at = np.searchsorted(places, at, side="right")
+    size = np.diff(at)[which]
     total = np.concatenate([[0], np.cumsum(size)])
-    gather = np.arange(total[-1]) - np.repeat(total[:-1], size) + np.repeat(at[which], size)
-    return ids[gather], total[per]
+    return ids[np.arange(total[-1]) - np.repeat(total[:-1], size) + np.repeat(at[:-1][which], size)], total[per]
 
 
 def decode(ids: np.ndarray, vocab: Vocabulary) -> str:

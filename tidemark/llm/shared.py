@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zlib
 
@@ -9,10 +10,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only when its counted rows, or measured bytes,
-#: stay below these; beyond them the join shuffles both sides.
-BROADCAST_ROWS = 2_000_000
+#: A side of a join is broadcast only when its measured bytes stay below this; beyond it
+#: the join shuffles both sides.  A row counts with its bytes in a hash relation.
 BROADCAST_BYTES = 64 << 20
+ROW_BYTES = 48
 
 #: Text handled by one hash bucket of a packed exchange.
 BUCKET_BYTES = 32 << 20
@@ -21,28 +22,29 @@ BUCKET_BYTES = 32 << 20
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the folder that the session names.
 
-    The last stage runs in two waves over the cluster's cores, or in an eighth of the
-    shuffle partitions where that is more, so a checkpoint makes few files and its tasks
-    still shrink as a session with more data raises its shuffle partitions.
+    Tasks are those of the last stage: a scan keeps its own, and after an exchange
+    adaptive execution sizes them by bytes.  Only a session in one process, such as a
+    test, may go without a named folder.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
-    return df.coalesce(max(2 * context.defaultParallelism, shuffle_partitions(df.sparkSession) // 8, 2)).checkpoint()
+    return df.checkpoint()
 
 
-def join_checked(big: DataFrame, small: DataFrame, on: str, how: str, payload: str | None = None) -> DataFrame:
+def join_checked(big: DataFrame, small: DataFrame, on: str | list[str], how: str, payload: tuple[str, ...] = ()) -> DataFrame:
     """Join ``big`` with a side that is usually small.
 
-    ``small`` is checkpointed and measured first: it is broadcast below
-    ``BROADCAST_ROWS`` rows (and ``BROADCAST_BYTES`` of ``payload``), and
-    shuffled like any other side beyond that.
+    ``small`` is checkpointed and measured first, ``ROW_BYTES`` a row and the bytes of its
+    ``payload`` columns: it is broadcast up to ``BROADCAST_BYTES``, and shuffled like any
+    other side beyond that.
     """
     small = checkpointed(small)
-    size = F.sum(F.length(payload)) if payload else F.lit(0)
-    rows, size = small.agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0))).first()
-    fits = rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+    size = sum((F.coalesce(F.length(c), F.lit(0)) for c in payload), F.lit(ROW_BYTES)).cast("long")
+    fits = (small.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES
     return big.join(F.broadcast(small) if fits else small.hint("merge"), on, how)
 
 
@@ -65,10 +67,6 @@ def crc_fold(doc_id: int, modulo: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % modulo
 
 
-def salt(column: str, ways: int) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(ways)).cast("int")
-
-
 def pack(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values).tobytes()
 
@@ -94,3 +92,12 @@ def per_document(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sum of ``values`` over each run of ``bounds``, empty runs included."""
     total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
     return total[bounds[1:]] - total[bounds[:-1]]
+
+
+def one_row_an_id(rows: DataFrame) -> DataFrame:
+    """The smallest row of every id, so that a sample of n ids is n rows however often an id repeats.
+
+    ``rows`` starts with doc_id; repeats are combined in the tasks that read them.
+    """
+    first = F.min(F.struct(*rows.columns[1:])).alias("first")
+    return rows.groupBy("doc_id").agg(first).select("doc_id", "first.*")
