@@ -13,9 +13,9 @@ Within a bucket links are found by ever dearer ways.
 First every member is verified against a few pivots, the members with the most company
 over all tables (in a family of edited copies these are closest to the original); they
 are found by a rank limit that Spark applies before the shuffle too.  Then, in buckets that still hold several components, the members are laid out by further
-half-keys, which puts the most similar ones side by side (a large bucket in blocks of its
-first such half-key), and neighbours of different
-components are verified; this is repeated with other half-keys.  Last, what still lies in
+half-keys, which puts the most similar ones side by side, and neighbours of different
+components are verified (a large bucket in random blocks); this is repeated with other
+half-keys.  Last, what still lies in
 different components of a bucket is verified pair by pair, so no pair that shares a bucket
 is left out: members outside a bucket's largest component meet all its members, each pair
 in the first bucket it shares, and large buckets in blocks.  Of these pairs only such are
@@ -43,13 +43,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import checkpointed, join_checked
+from .shared import checkpointed, join_checked, release
 from .words import LOWER, Words, buffers, mix, rolling, run_hashes, slices
 
 _SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, firsts array<long>, seconds array<long>"
-#: Members of a bucket that one block of the last pass has on its smaller side.
-BLOCK = 2048
-BITS = 2048
+#: Members of a bucket that one block of a chain has, and that one block of the last pass has on its smaller side.
+CHAIN = 1024
+BLOCK = 8192
+BITS = 1024
 _SHORT = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -157,12 +158,12 @@ def chain(members: DataFrame, labels: DataFrame, halves: DataFrame, bands: int,
     """(node, other) for neighbours of different components in buckets laid out by half-keys other than their own."""
     rows = members.join(labels.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low != high")
-    mixed = mixed.select("bucket", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    mixed = mixed.select("bucket", F.ceil(F.col("n") / CHAIN).alias("blocks"))
     rows = rows.join(mixed.hint("merge"), "bucket").join(halves.hint("merge"), "node")
     i, j = F.floor(F.col("slot") / bands), F.col("slot") % bands
     keys = [F.get(half, ((at + 2 * turn + k) % bands).cast("int")) for k in (1, 2) for half, at in (("firsts", i), ("seconds", j))]
     rows = rows.select("bucket", "blocks", "node", "component", *(key.alias(f"key{k}") for k, key in enumerate(keys)))
-    order = Window.partitionBy("bucket", F.pmod(F.xxhash64("key0"), "blocks")).orderBy(*(f"key{k}" for k in range(len(keys))), "node")
+    order = Window.partitionBy("bucket", F.pmod(F.xxhash64("node"), "blocks")).orderBy(*(f"key{k}" for k in range(len(keys))), "node")
     rows = rows.select("node", "component", F.lag("node").over(order).alias("other"), F.lag("component").over(order).alias("beside"))
     return rows.where("component != beside").select(F.greatest("node", "other").alias("node"), F.least("node", "other").alias("other")).distinct()
 
@@ -215,13 +216,16 @@ def link_classes(documents: DataFrame, classes: DataFrame, banding: Banding) ->
     links = checkpointed(verify(checkpointed(star(members, banding.pivots)), sets, banding.percent))
     labels = components(links)
     for turn in range(banding.chains):
+        release(documents.sparkSession)
         pairs = checkpointed(chain(members, labels, halves, banding.bands, turn))
         if pairs.isEmpty():
             return labels
         links = links.unionByName(checkpointed(verify(pairs, sets, banding.percent)))
         labels = components(links)
+    release(documents.sparkSession)
     halves = halves.join(sets.select(F.col("doc_id").alias("node"), "bits", _ones(F.col("bits")).alias("n_bits")).hint("merge"), "node")
     pairs = checkpointed(remaining(members, labels, halves, banding.bands, banding.percent))
+    release(documents.sparkSession)
     more = checkpointed(verify(pairs, sets, banding.percent))
     return labels if more.isEmpty() else components(links.unionByName(more))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import zlib
@@ -35,6 +36,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files and checkpoints that no table refers to any more.
+
+    The cleaner follows the driver's garbage collection, which a driver that only plans seldom needs.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def join_checked(big: DataFrame, small: DataFrame, on: str | list[str], how: str, payload: tuple[str, ...] = ()) -> DataFrame:
     """Join ``big`` with a side that is usually small.
 
