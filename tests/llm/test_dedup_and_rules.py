@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tests.llm.conftest import SCHEMA, sentences, texts
 from tidemark.llm import near_dedup, packing, quality_rules, substring_dedup
-from tidemark.llm.components import components
+from tidemark.llm.components import components, joined
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -133,6 +133,13 @@ def test_components_of_chains_and_stars(spark: SparkSession) -> None:
     assert told == {k: 1 for k in range(1, 41)} | {k: 100 for k in range(100, 130)}
 
 
+def test_components_joined_by_more_links(spark: SparkSession) -> None:
+    first, more = [(1, 2), (2, 3), (10, 11), (20, 21)], [(3, 11), (21, 30), (40, 41), (5, 40)]
+    tables = [spark.createDataFrame(x, "a long, b long") for x in (first, more, first + more)]
+    told = {tuple(r) for r in joined(components(tables[0]), tables[1]).collect()}
+    assert told == {tuple(r) for r in components(tables[2]).collect()}
+
+
 def brute_rules(text: str | None) -> tuple:
     text = text or ""
     words = WORD.findall(text)

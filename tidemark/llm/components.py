@@ -27,3 +27,14 @@ def components(links: DataFrame) -> DataFrame:
         jumped = best.join(up.hint("merge"), "label").select("node", F.least("label", "above").alias("label"), "own")
         labels = checkpointed(jumped.select("node", "label", (F.col("label") != F.col("own")).alias("moved")))
     return labels.select("node", F.col("label").alias("component"))
+
+
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links; only components that the new links meet are worked on."""
+    ends = links.select(F.col("a").alias("node"), F.col("a").alias("component")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")))
+    known = checkpointed(labels.unionByName(ends).groupBy("node").agg(F.min("component").alias("component")))
+    for end in ("a", "b"):
+        named = known.select(F.col("node").alias(end), F.col("component").alias("named"))
+        links = links.join(named.hint("merge"), end).withColumn(end, F.col("named")).drop("named")
+    moved = components(links.where("a != b").distinct()).select(F.col("node").alias("component"), F.col("component").alias("now"))
+    return checkpointed(known.join(moved.hint("merge"), "component", "left").select("node", F.coalesce("now", "component").alias("component")))

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, joined
 from .shared import checkpointed, join_checked, release
 from .words import LOWER, Words, buffers, mix, rolling, run_hashes, slices
 
@@ -220,21 +220,21 @@ def link_classes(documents: DataFrame, classes: DataFrame, banding: Banding) ->
         pairs = checkpointed(chain(members, labels, halves, banding.bands, turn))
         if pairs.isEmpty():
             return labels
-        links = links.unionByName(checkpointed(verify(pairs, sets, banding.percent)))
-        labels = components(links)
+        labels = joined(labels, checkpointed(verify(pairs, sets, banding.percent)))
     release(documents.sparkSession)
     halves = halves.join(sets.select(F.col("doc_id").alias("node"), "bits", _ones(F.col("bits")).alias("n_bits")).hint("merge"), "node")
     pairs = checkpointed(remaining(members, labels, halves, banding.bands, banding.percent))
     release(documents.sparkSession)
     more = checkpointed(verify(pairs, sets, banding.percent))
-    return labels if more.isEmpty() else components(links.unionByName(more))
+    return labels if more.isEmpty() else joined(labels, more)
 
 
 def apply(documents: DataFrame, banding: Banding = Banding()) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id and kept."""
     ids = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = checkpointed(ids.where("doc_id is not null").mapInArrow(partial(_sketches, banding=banding), _SKETCH))
-    merged = sketches.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"))
+    # checkpointed apart, so that a large group of copies meets it in a join that adaptive execution can split
+    merged = checkpointed(sketches.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node")))
     owners = checkpointed(sketches.select("doc_id", "n_shingles", "set_a", "set_b").join(merged.hint("merge"), ["set_a", "set_b"]).select("doc_id", "n_shingles", "node"))
     classes = sketches.join(owners.where("doc_id = node").select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
     labels = link_classes(documents, classes.withColumnRenamed("doc_id", "node"), banding)
