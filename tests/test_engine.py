@@ -181,7 +181,7 @@ def test_boosting_learns_resumes_and_ignores_partitioning(spark: SparkSession) -
     saved: list[str] = []
     model = boost.fit(rows, rows, names, SMALL, save=lambda m: saved.append(m.dumps()), identity="a")
     again = boost.fit(rows.repartition(3), rows, names, SMALL, start=boost.Model.loads(saved[0]), identity="a")
-    assert [[n[:1] + n[2:4] for n in t] for t in model.trees] == [[n[:1] + n[2:4] for n in t] for t in again.trees]
+    assert [[n[:4] for n in t] for t in model.trees] == [[n[:4] for n in t] for t in again.trees] and model.cuts == again.cuts
     with pytest.raises(ValueError, match="other inputs"):
         boost.fit(rows, rows, names, SMALL, start=boost.Model.loads(saved[0]), identity="b")
     told = boost.predict(rows, model)
@@ -211,17 +211,54 @@ def test_ablation_and_external_panel(spark: SparkSession) -> None:
     assert found.groupBy("model").count().where("count = 8").count() == 3
 
 
-def test_job_driver(spark: SparkSession, tmp_path, capsys) -> None:
+def test_job_driver(spark: SparkSession, tmp_path, capsys, monkeypatch) -> None:
+    """All stages; a fit that is there is not made again, one of other inputs is refused, and faults keep a report back."""
     import json
 
     from tidemark.__main__ import main
 
-    write_reviews(table(spark, *(user_rows(u, 24) for u in range(1, 17))), str(tmp_path / "r"))
-    with pytest.raises(SystemExit) as code:
-        main(["check", "--reviews", str(tmp_path / "r")])
-    assert not code.value.code
-    main(["score", "--reviews", str(tmp_path / "r"), "--out", str(tmp_path / "s"), "--rounds", "1"])
+    reviews, out = str(tmp_path / "r"), str(tmp_path / "s")
+    write_reviews(table(spark, *(user_rows(u, 24) for u in range(1, 17))), reviews)
+    main(["check", "--reviews", reviews])
+    assert [r.user for r in tables.discovered_users(spark, reviews).orderBy("user").collect()] == list(range(1, 17))
+    same = ["--reviews", reviews, "--out", out, "--rounds", "1"]
+    with pytest.raises(ValueError, match="no model"):
+        main(["score", *same])
     capsys.readouterr()
-    main(["report", "--reviews", str(tmp_path / "r"), "--out", str(tmp_path / "s")])
-    told = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
+    main(["all", *same])
+    told = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{") and "metric" in x]
     assert {(r["model"], r["metric"]) for r in told if r["n_users"] == 16} >= {("base", "log_loss"), ("boosted", "log_loss"), ("calibrated", "rmse_bins")}
+    manifest = json.loads(spark.read.text(f"{out}/manifest").first().value)
+    assert manifest["users"] == 16 and manifest["reviews"] == 384 and set(manifest["fits"]) == {"0", "1"}
+    grown = []
+    monkeypatch.setattr(boost, "grow", lambda *a: grown.append(a))
+    main(["fit", *same])
+    assert not grown
+    with pytest.raises(ValueError, match="other inputs"):
+        main(["fit", *same, "--seed", "21"])
+    monkeypatch.undo()
+    main(["fit", *same[:-1], "2", "--force"])
+    with pytest.raises(SystemExit):
+        main(["report", *same[:-1], "2"])
+    assert "stale fit" in capsys.readouterr().out
+
+
+def test_fits_that_do_not_converge_are_refused(spark: SparkSession) -> None:
+    rows = features.with_spine(table(spark, user_rows(1), user_rows(2), user_rows(3)))
+    with pytest.raises(ValueError, match="converge"):
+        calibrate.fit(rows, max_iter=1)
+    with pytest.raises(ValueError, match="convergence"):
+        calibrate.offset_regression(calibrate.design(rows), ["x16", "x256"], "y", "z", "weight", max_iter=1)
+    assert calibrate.fit(rows).iterations > 1
+    sure = [[r | {"p_fsrs": 0.999999, "y": float(r["review_th"] % 2)} for r in user_rows(u)] for u in (1, 2)]
+    sure = features.with_spine(table(spark, *sure))
+    design, found = calibrate.design(sure), calibrate.fit(sure)
+    assert found.objective <= calibrate.objective(design, (0.0, 0.0, 0.0)).first().loss
+
+
+def test_places_of_a_total_order(spark: SparkSession) -> None:
+    rng = np.random.default_rng(1)
+    rows = [(int(a), k) for k, a in enumerate(rng.integers(0, 20, 500))]
+    told = splits.placed(spark.createDataFrame(rows, "size long, user long").repartition(7), "size", "user").collect()
+    assert [(r.size, r.user) for r in sorted(told, key=lambda r: r.place)] == sorted(rows)
+    assert sorted(r.place for r in told) == list(range(500))

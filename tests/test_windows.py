@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.operators import features, validate
 from tidemark.sources.reviews import REVIEW_SCHEMA
@@ -91,10 +93,37 @@ def test_frozen_and_local_groups_agree_when_cards_stay(spark: SparkSession) -> N
     assert local.exceptAll(frozen).isEmpty()
 
 
+def test_frozen_groups_count_a_card_where_the_user_met_it(spark: SparkSession) -> None:
+    rows = moved(user_rows(3))
+    built = features.build(table(spark, rows), BETA, frozen=True).orderBy("review_th").toPandas()
+    met: dict[int, int] = {}
+    for t, row in enumerate(rows):
+        assert built["dk_cards_seen"][t] == sum(deck == row["deck_id"] for deck in met.values())
+        met.setdefault(row["card_id"], row["deck_id"])
+
+
+def test_leaks_are_found_at_all_places(spark: SparkSession) -> None:
+    rows = table(spark, user_rows(1), user_rows(2))
+    assert validate.causality(rows, lambda t: features.build(t, BETA), features.FEATURES).first().rows_checked == 2 * sum(n + 1 for n in (48 // 7, 16, 24, 47))
+    leaky = validate.causality(rows, lambda t: t.withColumn("f", F.col("y")), ["f"]).first()
+    assert leaky.rows_changed == 2 * 4
+
+
+def test_coefficients_of_each_user(spark: SparkSession) -> None:
+    rows = table(spark, user_rows(1), user_rows(2))
+    betas = {1: BETA, 2: (0.3, 0.1, -0.2)}
+    told = scorer.replay(rows, spark.createDataFrame([(u, *b) for u, b in betas.items()], "user long, b0 double, b1 double, b2 double")).toPandas()
+    for user, beta in betas.items():
+        want = features.build(rows.where(F.col("user") == user), beta, narrow=False).orderBy("review_th").toPandas()
+        assert np.allclose(told[told.user == user].sort_values("review_th")["p_b"], want["p_b"])
+    with pytest.raises(Exception, match="neither"):
+        scorer.replay(rows, spark.createDataFrame([(1, *BETA)], "user long, b0 double, b1 double, b2 double")).collect()
+
+
 def test_later_outcomes_change_no_earlier_feature(spark: SparkSession) -> None:
     rows = table(spark, user_rows(1), user_rows(2))
     for after in (0, 20, 47):
-        told = validate.causality(rows, lambda t: features.build(t, BETA), features.FEATURES, after).first()
+        told = validate.causality(rows, lambda t: features.build(t, BETA), features.FEATURES, [F.lit(after)]).first()
         assert told.rows_checked == 2 * (after + 1)
         assert told.rows_changed == 0
 

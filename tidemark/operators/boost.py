@@ -1,24 +1,30 @@
 """Boosted trees on an offset margin, grown from histograms that Spark aggregates.
 
-Features are binned once by cuts taken from training rows only.  Each level of a tree is
-one grouped sum of gradients and curvatures by (node, feature, bin), with map-side
-combination, so what moves is bounded by nodes x features x bins however many rows there
-are; the best split is picked from that small table on the driver.  Rows are sampled by a
-hash of (user, review, round, seed), so a fit does not depend on partitioning.
+Features are binned once, by quantiles of a sample of training rows that a hash of their
+key picks.  For each level of a tree a task sums gradients and curvatures of its rows by
+(node, feature, bin) in one array, so what moves is bounded by tasks x nodes x features x
+bins however many rows there are; the best split is picked from the summed table on the
+driver.  Rows are sampled by a hash of (user, review, round, seed), so a fit does not depend
+on partitioning but for the last bits of sums.
+
+Margins are checkpointed every few rounds; between these the trees grown since are applied
+on the fly.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from ..session import checkpointed
 
 
 @dataclass(frozen=True)
@@ -57,11 +63,13 @@ class Model:
         return Model(**told)
 
 
-def bin_cuts(train: DataFrame, features: list[str], bins: int) -> list[list[float]]:
-    """Inner quantile cuts of each feature over the training rows."""
+def bin_cuts(train: DataFrame, features: list[str], bins: int, sample: int = 100_000) -> list[list[float]]:
+    """Inner quantile cuts of each feature, over about ``sample`` training rows picked by a hash of user and review."""
+    share = min(1.0, sample / max(train.count(), 1))
+    picked = F.pmod(F.xxhash64(F.lit(11), F.col("user"), F.col("review_th")), F.lit(1 << 30)) < int(share * (1 << 30))
+    rows = train.where(picked).select(*(F.col(f).cast("double") for f in features)).toPandas()  # about ``sample`` rows
     shares = [k / bins for k in range(1, bins)]
-    found = train.approxQuantile(features, shares, 1e-3)
-    return [sorted(set(cuts)) for cuts in found]
+    return [sorted({float(x) for x in np.quantile(rows[f], shares, method="inverted_cdf")}) if len(rows) else [] for f in features]
 
 
 def binned(rows: DataFrame, features: list[str], cuts: list[list[float]], name: str = "bins") -> DataFrame:
@@ -76,11 +84,37 @@ def binned(rows: DataFrame, features: list[str], cuts: list[list[float]], name:
     return rows.select(*columns, numbers(F.struct(*(F.col(f).cast("double").alias(f) for f in features))).alias(name))
 
 
+_CELLS = "node int, feature int, bin int, g double, h double, n long"
+
+
 def histograms(rows: DataFrame, chosen: list[int], node: Column) -> DataFrame:
     """Gradient, curvature and rows by node, feature and bin."""
-    pairs = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col("bins")[f].cast("int").alias("bin")) for f in chosen)))
-    spread = rows.select(node.alias("node"), "g", "h", pairs.alias("x"))
-    return spread.groupBy("node", "x.feature", "x.bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count(F.lit(1)).alias("n"))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells: dict[int, np.ndarray] = {}
+        for batch in batches:
+            nodes, g, h = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3))
+            bins = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(nodes), -1)
+            for one in np.unique(nodes):
+                own = np.flatnonzero(nodes == one)
+                for f in chosen:
+                    at = bins[own, f]
+                    told = np.stack([np.bincount(at, weights=w) for w in (g[own], h[own], np.ones(len(own)))])
+                    have = cells.get((int(one), f))
+                    if have is not None:
+                        wide = np.zeros((3, max(told.shape[1], have.shape[1])))
+                        wide[:, : told.shape[1]] += told
+                        wide[:, : have.shape[1]] += have
+                        told = wide
+                    cells[int(one), f] = told
+        for (one, f), told in cells.items():
+            at = np.flatnonzero(told[2])
+            whole = [np.full(len(at), x, np.int32) for x in (one, f)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, whole), pa.array(at.astype(np.int32)), pa.array(told[0, at]), pa.array(told[1, at]), pa.array(told[2, at].astype(np.int64))], ["node", "feature", "bin", "g", "h", "n"])
+
+    spread = rows.select(node.cast("int").alias("node"), "bins", F.col("g").cast("double").alias("g"), F.col("h").cast("double").alias("h"))
+    parts = spread.mapInArrow(sums, _CELLS)
+    return parts.groupBy("node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n"))
 
 
 def best_splits(table: pd.DataFrame, settings: Settings) -> dict[int, tuple[float, int, int, float, float, float, float]]:
@@ -120,15 +154,18 @@ def _leaf_values(tree: list[tuple], bins: np.ndarray, cuts: list[list[float]] |
     return value[at]
 
 
-def add_tree(rows: DataFrame, model: Model, tree: list[tuple]) -> DataFrame:
-    """Margins after one more tree, from bins."""
+def add_trees(rows: DataFrame, model: Model, trees: list[list[tuple]]) -> DataFrame:
+    """Margins after more trees, from bins."""
+    if not trees:
+        return rows
     cuts = model.cuts
 
     @F.pandas_udf("double")
-    def leaf(bins: pd.Series) -> pd.Series:
-        return pd.Series(_leaf_values(tree, np.stack(bins.to_numpy()), cuts, None))
+    def leaves(bins: pd.Series) -> pd.Series:
+        x = np.stack(bins.to_numpy())
+        return pd.Series(sum(_leaf_values(tree, x, cuts, None) for tree in trees))
 
-    return rows.withColumn("margin", F.col("margin") + leaf("bins"))
+    return rows.withColumn("margin", F.col("margin") + leaves("bins"))
 
 
 def grow(sample: DataFrame, model: Model, settings: Settings, chosen: list[int]) -> list[tuple]:
@@ -168,18 +205,17 @@ def fit(
     """Boost until the validation loss has not strictly improved for ``patience`` rounds.
 
     Both tables need user, review_th, y, weight, margin and the features.  ``cut_lineage``
-    checkpoints a table (margins change every round); ``save`` gets the model every few
-    rounds, and ``start`` resumes one, which must carry the same identity.
+    checkpoints a table, every ``checkpoint_every`` rounds; ``save`` gets the model then and
+    at the end, and ``start`` resumes one, which must carry the same identity.
     """
     if start is not None and start.identity != identity:
         raise ValueError("the saved model belongs to other inputs")
     if start is not None and start.trees and start.best_score is None:
         raise ValueError("the saved model lacks its early-stopping state")
-    cut_lineage = cut_lineage or (lambda df: df.checkpoint())
+    cut_lineage = cut_lineage or checkpointed
     model = start or Model(features, bin_cuts(train, features, settings.bins), identity=identity)
-    tables = [cut_lineage(binned(t.select("user", "review_th", "y", "weight", "margin", *features), features, model.cuts)) for t in (train, val)]
-    for tree in model.trees:
-        tables = [add_tree(t, model, tree) for t in tables]
+    bases = [cut_lineage(binned(t.select("user", "review_th", "y", "weight", "margin", *features), features, model.cuts)) for t in (train, val)]
+    pending = list(model.trees)
     for number in range(len(model.trees), settings.rounds):
         if number - model.best_round > settings.patience:
             break
@@ -187,16 +223,21 @@ def fit(
         chosen = sorted(rng.choice(len(features), max(1, round(settings.colsample * len(features))), replace=False).tolist())
         share = (F.pmod(F.xxhash64(F.lit(settings.seed), F.lit(number), F.col("user"), F.col("review_th")), F.lit(1 << 30)) + 0.5) / float(1 << 30)
         p = scalars.expit(F.col("margin"))
-        sample = tables[0].where(share < settings.subsample).select("bins", (F.col("weight") * (p - F.col("y"))).alias("g"), (F.col("weight") * p * (1 - p)).alias("h")).persist()
+        now = add_trees(bases[0].where(share < settings.subsample), model, pending)
+        sample = now.select("bins", (F.col("weight") * (p - F.col("y"))).alias("g"), (F.col("weight") * p * (1 - p)).alias("h")).persist()
         tree = grow(sample, model, settings, chosen)
         sample.unpersist()
-        tables = [cut_lineage(add_tree(t, model, tree)) for t in tables]
         model.trees.append(tree)
-        score = _loss(tables[1])
+        pending.append(tree)
+        score = _loss(add_trees(bases[1], model, pending))
         if model.best_score is None or score < model.best_score:
             model.best_score, model.best_round = score, number
-        if save and (number + 1) % settings.checkpoint_every == 0:
-            save(model)
+        if (number + 1) % settings.checkpoint_every == 0:
+            bases, pending = [cut_lineage(add_trees(t, model, pending)) for t in bases], []
+            if save:
+                save(model)
+    if save:
+        save(model)
     return model
 
 

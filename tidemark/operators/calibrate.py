@@ -16,12 +16,17 @@ from ..functions import scalars
 from . import splits as S
 
 
+#: Largest gradient of the mean loss at which a fit counts as converged.
+GRADIENT = 1e-6
+
+
 @dataclass(frozen=True)
 class Calibration:
     beta: tuple[float, float, float]
     objective: float
     users: int
     rows: int
+    iterations: int = 0
 
 
 def design(rows: DataFrame) -> DataFrame:
@@ -42,7 +47,10 @@ def objective(table: DataFrame, beta: tuple[float, float, float]) -> DataFrame:
 
 
 def fit(rows: DataFrame, max_iter: int = 100, tol: float = 1e-12) -> Calibration:
-    """Maximum likelihood by iteratively reweighted least squares, one aggregate per step."""
+    """Maximum likelihood by iteratively reweighted least squares, one aggregate per step.
+
+    A fit whose gradient is not close to zero has not converged, and is an error.
+    """
     table = design(rows).persist()
     try:
         n, users = table.agg(F.count(F.lit(1)), F.countDistinct("user")).first()
@@ -52,10 +60,10 @@ def fit(rows: DataFrame, max_iter: int = 100, tol: float = 1e-12) -> Calibration
         learner = GeneralizedLinearRegression(family="binomial", link="logit", labelCol="y", offsetCol="z", weightCol="weight", maxIter=max_iter, tol=tol, regParam=0.0)
         model = learner.fit(data)
         beta = (float(model.intercept), *(float(x) for x in model.coefficients))
-        if not np.isfinite(beta).all():
-            raise ValueError("calibration did not converge")
-        loss = objective(table, beta).first()["loss"]
-        return Calibration(beta, float(loss), int(users), int(n))
+        at = objective(table, beta).first() if np.isfinite(beta).all() else None
+        if at is None or not max(abs(at.g0), abs(at.g1), abs(at.g2)) <= GRADIENT:
+            raise ValueError(f"calibration did not converge in {max_iter} iterations")
+        return Calibration(beta, float(at.loss), int(users), int(n), int(model.summary.numIterations))
     finally:
         table.unpersist()
 
@@ -64,7 +72,7 @@ def cross_fit(rows: DataFrame, train: list[int], seed: int, parts: int = 3) -> t
     """Coefficients for every user: those of the other groups for training users, of all training users for the rest."""
     spark = rows.sparkSession
     groups = S.inner_groups(train, seed, parts)
-    everyone = rows.where(F.col("user").isin(train)) if len(train) <= 1000 else rows.join(spark.createDataFrame([(u,) for u in train], "user long"), "user", "left_semi")
+    everyone = rows.join(spark.createDataFrame([(u,) for u in train], "user long"), "user", "left_semi")
     whole = fit(everyone)
     told = []
     for group in groups:
@@ -109,8 +117,8 @@ def offset_regression(rows: DataFrame, features: list[str], label: str, offset:
             move = np.linalg.solve(gram + l2 * np.eye(d), gradient + l2 * beta)
             beta = beta - move
             if np.abs(move).max() < tol:
-                break
-        return beta
+                return beta
+        raise ValueError(f"no convergence in {max_iter} steps")
     finally:
         table.unpersist()
 

@@ -57,14 +57,17 @@ def with_state(rows: DataFrame) -> DataFrame:
 
 
 def with_groups(rows: DataFrame, frozen: bool = False) -> DataFrame:
-    """Deck and note history; windows of one key follow each other, so each key is sorted once."""
+    """Deck and note history; windows of one key follow each other, so each key is sorted once.
+
+    The frozen form takes away a card's whole history, and counts a card in the group where the user first met it.
+    """
     r = F.col("r_b")
     kept = rows.columns
     for short, key in (("nt", "note_id"), ("dk", "deck_id")):
         own = ("card_id",) if frozen else (key, "card_id")
         rows = rows.withColumns({"_own_n": W.count_before(*own), "_own_sum": W.prefix_sum(r, *own)})
         if short == "dk":
-            rows = rows.withColumn("_first", (F.row_number().over(W.stream(key, "card_id")) == 1).cast("long"))
+            rows = rows.withColumn("_first", (F.row_number().over(W.stream("card_id") if frozen else W.stream(key, "card_id")) == 1).cast("long"))
         told = {"_n": W.count_before(key), "_sum": W.prefix_sum(r, key)}
         if short == "dk":
             changed = F.lag("card_id").over(W.stream(key)) != F.col("card_id")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from statistics import NormalDist
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,9 +50,16 @@ def mean_bias(rows: DataFrame, p: str, y: str = "y") -> DataFrame:
 
 
 def per_user(rows: DataFrame, p: str, y: str = "y") -> DataFrame:
-    """All metrics of a probability; the joins reuse the one exchange on the user."""
-    told = log_loss(rows, p, y).join(mean_bias(rows, p, y).drop("size"), "user")
-    return told.join(binned_rmse(rows, p, y), "user").join(auc(rows, p, y), "user")
+    """All metrics of a probability: the bins of the binned error also hold the sums of the others; ranks are joined."""
+    q, label = F.col(p), F.col(y)
+    bins = [scalars.elapsed_bin(F.col("elapsed_days")).alias("dt"), scalars.ordinal_bin(F.col("i")).alias("ii"), scalars.lapse_bin(F.col("lapse")).alias("ll")]
+    sums = {"loss": row_loss(label, q), "gap": q - label}
+    cells = rows.groupBy("user", *bins).agg(*(F.sum(c).alias(n) for n, c in sums.items()), F.avg(label - q).alias("off"), F.count(F.lit(1)).alias("n"))
+    n = F.sum("n")
+    told = cells.groupBy("user").agg(
+        (F.sum("loss") / n).alias("log_loss"), n.alias("size"), (F.sum("gap") / n).alias("mbe"), F.sqrt(F.sum(F.col("n") * F.col("off") * F.col("off")) / n).alias("rmse_bins")
+    )
+    return told.join(auc(rows, p, y), "user")
 
 
 def equal_user(metrics: DataFrame, names: list[str]) -> DataFrame:
@@ -77,25 +87,45 @@ def largest_gap(left: DataFrame, right: DataFrame, columns: list[str], key: tupl
     return both.agg(*(F.max(F.abs(F.col(c).cast("double") - F.col(f"{c}_b"))).alias(c) for c in columns), F.sum(lone).alias("unmatched"))
 
 
-def bootstrap(deltas: DataFrame, draws: int = 20_000, seed: int = 0, ways: int = 64) -> DataFrame:
+def hashed(x: np.ndarray) -> np.ndarray:
+    """A 32-bit mix of 32-bit values, in steps that SQL can repeat."""
+    x = (x ^ (x >> np.uint64(16))) * np.uint64(0x7FEB352D) & np.uint64(0xFFFFFFFF)
+    x = (x ^ (x >> np.uint64(15))) * np.uint64(0x846CA68B) & np.uint64(0xFFFFFFFF)
+    return x ^ (x >> np.uint64(16))
+
+
+#: P(draws <= k) of a Poisson(1) count, as shares of 2 ** 32.
+POISSON = np.array([round(2**32 * math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1))) for k in range(12)], np.uint64)
+
+
+def bootstrap(deltas: DataFrame, draws: int = 20_000, seed: int = 0, block: int = 512) -> DataFrame:
     """Paired bootstrap over users: mean, 95 % percentile interval, standard error, improved, worsened, tied, users.
 
     A resample draws as many users as there are, with replacement.  The number of times a
     user is drawn is close to Poisson(1) and independent between users, so each user's
-    count in each resample comes from a hash of (seed, draw, user): nothing is joined or
-    exploded beyond users x draws partial sums, which combine map-side per draw.
+    count in each resample comes from a hash of (seed, draw, user).  A task keeps two sums
+    a draw for all its users, so what moves is tasks x draws numbers, however many users.
     """
-    unit = (F.pmod(F.xxhash64(F.lit(seed), F.col("draw"), F.col("user")), F.lit(1 << 53)) + 0.5) / float(1 << 53)
-    cut, total, times = 0.36787944117144233, 0.36787944117144233, F.lit(0)
-    for k in range(1, 12):
-        times = times + (unit > total).cast("int")
-        cut /= k
-        total += cut
-    spread = deltas.select("user", "delta").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("times", times)
-    means = spread.groupBy("draw").agg((F.sum(F.col("delta") * F.col("times")) / F.sum("times")).alias("mean"))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, drawn = np.zeros(draws), np.zeros(draws, np.int64)
+        number = np.arange(draws, dtype=np.uint64)
+        for batch in batches:
+            users, values = batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64), batch.column(1).to_numpy(zero_copy_only=False)
+            low, high = users & np.uint64(0xFFFFFFFF), users >> np.uint64(32)
+            key = hashed(hashed(low ^ np.uint64(seed)) ^ high)
+            for at in range(0, len(key), block):
+                part = hashed((key[at : at + block, None] + number[None] * np.uint64(0x9E3779B1)) & np.uint64(0xFFFFFFFF))
+                times = np.searchsorted(POISSON, part, side="right")
+                total += values[at : at + block] @ times
+                drawn += times.sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(number.astype(np.int32)), pa.array(total), pa.array(drawn)], ["draw", "total", "drawn"])
+
+    parts = deltas.select(F.col("user").cast("long"), F.col("delta").cast("double")).mapInArrow(sums, "draw int, total double, drawn long")
+    means = parts.groupBy("draw").agg((F.sum("total") / F.sum("drawn")).alias("mean"))
     told = means.agg(F.expr("percentile(mean, array(0.025, 0.975))").alias("ci"), F.stddev_samp("mean").alias("se"))
-    sums = deltas.agg(F.avg("delta").alias("mean"), F.count_if(F.col("delta") < 0).alias("improved"), F.count_if(F.col("delta") > 0).alias("worsened"), F.count_if(F.col("delta") == 0).alias("tied"), F.count(F.lit(1)).alias("n"))
-    return sums.crossJoin(told).select("mean", F.col("ci")[0].alias("ci_low"), F.col("ci")[1].alias("ci_high"), "se", "improved", "worsened", "tied", "n")
+    counts = deltas.agg(F.avg("delta").alias("mean"), F.count_if(F.col("delta") < 0).alias("improved"), F.count_if(F.col("delta") > 0).alias("worsened"), F.count_if(F.col("delta") == 0).alias("tied"), F.count(F.lit(1)).alias("n"))
+    return counts.crossJoin(told).select("mean", F.col("ci")[0].alias("ci_low"), F.col("ci")[1].alias("ci_high"), "se", "improved", "worsened", "tied", "n")  # one row each
 
 
 def paired_bootstrap(deltas: np.ndarray, draws: int = 20_000, seed: int = 0, block: int = 256) -> dict[str, float]:

@@ -7,17 +7,29 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import checkpointed
+
 _SPLIT = T.StructType([T.StructField("fold", T.IntegerType()), T.StructField("user", T.LongType()), T.StructField("role", T.StringType())])
 
 
-def volume_split(sizes: DataFrame) -> DataFrame:
-    """Users in order of size, even places fit and odd ones evaluate; every fourth fitting user validates.
+def placed(rows: DataFrame, *order: str, name: str = "place") -> DataFrame:
+    """0-based places in a total order: ranges are sorted each on its own, and start where the smaller ranges end."""
+    ranges = checkpointed(rows.repartitionByRange(*order)).withColumn("_range", F.spark_partition_id())
+    sizes = {r["_range"]: r["n"] for r in ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect()}  # one number a range
+    starts, total = [], 0
+    for number in sorted(sizes):
+        starts.append((number, total))
+        total += sizes[number]
+    before = rows.sparkSession.createDataFrame(starts, "_range int, _start long")
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranges.join(F.broadcast(before), "_range").withColumn(name, own + F.col("_start") - 1).drop("_range", "_start")
 
-    Users number far fewer than rows; their places need one ordering of all of them.
-    """
-    placed = sizes.withColumn("place", F.row_number().over(Window.orderBy("size", "user")) - 1)
+
+def volume_split(sizes: DataFrame) -> DataFrame:
+    """Users in order of size, even places fit and odd ones evaluate; every fourth fitting user validates."""
+    rows = placed(sizes, "size", "user")
     role = F.when(F.col("place") % 2 == 1, "eval").when(F.floor(F.col("place") / 2) % 4 == 3, "val").otherwise("fit")
-    return placed.select("user", "size", role.alias("role"))
+    return rows.select("user", "size", role.alias("role"))
 
 
 def nested_splits(users: list[int], seed: int, share: float = 0.15) -> list[dict[str, list[int]]]:
@@ -71,8 +83,7 @@ def parse_shard(text: str) -> tuple[int, int]:
 
 def shard(users: DataFrame, number: int, count: int) -> DataFrame:
     """Every count-th user in order, from place ``number`` on."""
-    placed = users.withColumn("place", F.row_number().over(Window.orderBy("user")) - 1)
-    return placed.where(F.pmod(F.col("place"), F.lit(count)) == number).drop("place")
+    return placed(users, "user").where(F.pmod(F.col("place"), F.lit(count)) == number).drop("place")
 
 
 def head(rows: DataFrame, limit: int) -> DataFrame:
@@ -83,9 +94,9 @@ def head(rows: DataFrame, limit: int) -> DataFrame:
 
 def spaced_users(users: DataFrame, n: int) -> DataFrame:
     """n users at evenly spaced places of their order."""
-    placed = users.withColumns({"place": F.row_number().over(Window.orderBy("user")) - 1, "all": F.count(F.lit(1)).over(Window.partitionBy())})
-    step = F.greatest(F.floor(F.col("all") / n), F.lit(1))
-    return placed.where((F.col("place") % step == 0) & (F.floor(F.col("place") / step) < n)).select("user")
+    rows = placed(users, "user")
+    step = max(rows.count() // n, 1)
+    return rows.where((F.col("place") % step == 0) & (F.floor(F.col("place") / step) < n)).select("user")
 
 
 def without_deferred(users: DataFrame, deferred: DataFrame) -> tuple[DataFrame, DataFrame]:

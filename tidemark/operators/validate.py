@@ -7,7 +7,7 @@ import json
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,25 +65,35 @@ def unmapped(reviews: DataFrame) -> DataFrame:
     )
 
 
-def perturbed(reviews: DataFrame, after: int) -> DataFrame:
-    """Outcomes of the rows from place ``after`` on turned over: label, probability, rating, duration."""
-    place = F.row_number().over(Window.partitionBy("user").orderBy("review_th")) - 1
-    late = F.col("_place") >= after
-    return reviews.withColumn("_place", place).withColumns({
+def perturbed(reviews: DataFrame, late: Column) -> DataFrame:
+    """Outcomes of the late rows turned over: label, probability, rating, duration."""
+    return reviews.withColumns({
         "y": F.when(late, 1 - F.col("y")).otherwise(F.col("y")), "p_fsrs": F.when(late, 1 - F.col("p_fsrs")).otherwise(F.col("p_fsrs")),
         "rating": F.when(late, F.lit(1.0)).otherwise(F.col("rating")), "duration": F.when(late, F.lit(999_999.0)).otherwise(F.col("duration")),
-    }).drop("_place")
+    })
+
+
+#: The places of a history after which outcomes are turned over, as shares of its rows; the last row too.
+CUTS = (7, 3, 2)
 
 
-def causality(reviews: DataFrame, build: Callable[[DataFrame], DataFrame], features: list[str], after: int) -> DataFrame:
-    """How many of the features' rows up to place ``after`` change when later outcomes do; none may.
+def causality(reviews: DataFrame, build: Callable[[DataFrame], DataFrame], features: list[str], places: list[Column] | None = None) -> DataFrame:
+    """How many of the features' rows up to a place change when later outcomes do; none may.
 
-    Features of row ``after`` itself come before its outcome, so they are checked too.
+    ``places`` are columns over the rows ``n`` of a user, by default n/7, n/3, n/2 and n - 1.
+    Features of the row at a place come before its outcome, so they are checked too.  The
+    table and its turned copies are one table whose users are pairs of user and copy, so
+    features are built once, and copies of a row meet in one aggregate.
     """
-    place = F.row_number().over(Window.partitionBy("user").orderBy("review_th")) - 1
-    tables = [build(t).withColumn("_place", place).where(F.col("_place") <= after).select("user", "review_th", F.struct(*features).alias(n)) for n, t in (("a", reviews), ("b", perturbed(reviews, after)))]
-    both = tables[0].join(tables[1], ["user", "review_th"])
-    return both.agg(F.count(F.lit(1)).alias("rows_checked"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("rows_changed"))
+    places = places or [*(F.floor(F.col("_n") / k) for k in CUTS), F.col("_n") - 1]
+    numbered = reviews.withColumns({"_place": F.row_number().over(Window.partitionBy("user").orderBy("review_th")) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy("user"))})
+    copies = numbered.withColumn("_copy", F.explode(F.array(F.struct(F.lit(-1).alias("k"), F.lit(-1).cast("long").alias("place")), *(F.struct(F.lit(k).alias("k"), p.cast("long").alias("place")) for k, p in enumerate(places)))))
+    late = (F.col("_copy.k") >= 0) & (F.col("_place") >= F.col("_copy.place"))
+    both = build(perturbed(copies, late).withColumn("user", F.struct("user", "_copy.k")))
+    checked = F.when((F.col("_copy.k") >= 0) & (F.col("_place") <= F.col("_copy.place")), F.xxhash64(*features))
+    told = both.groupBy(F.col("user.user"), "review_th").agg(F.max(F.when(F.col("_copy.k") < 0, F.xxhash64(*features))).alias("own"), F.collect_list(checked).alias("others"))  # one a place
+    changed = F.size(F.filter("others", lambda x: x != F.col("own")))
+    return told.agg(F.sum(F.size("others")).cast("long").alias("rows_checked"), F.sum(changed).cast("long").alias("rows_changed"))
 
 
 def file_digests(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:

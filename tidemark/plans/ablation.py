@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import boost, calibrate, features, joins, metrics, splits
-from .nested import METRICS, checkpointed
+from ..session import checkpointed
+from .nested import METRICS
 
 
 def with_roles(rows: DataFrame) -> DataFrame:

@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import boost, calibrate, features, joins, metrics, splits, validate
 from ..operators import windows as W
+from ..session import checkpointed
 from ..sources import reviews as source
 from ..streaming import scorer
 from .ablation import ablation
-from .nested import checkpointed, evaluate
+from .nested import evaluate
 from .sql import BETA, SQL
 
 KEY = ("user", "review_th")
@@ -217,7 +218,7 @@ def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def causality_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = reviews(spark, sf_dir).drop("p_milli", "r_milli")
-    return validate.causality(rows, lambda t: features.build(t, BETA), features.FEATURES, 20)
+    return validate.causality(rows, lambda t: features.build(t, BETA), features.FEATURES)
 
 
 def unmapped_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,7 +252,7 @@ def hist_split_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("p_milli")
     cells = rows.select(F.array(F.floor(F.col("p_fsrs") * 16).cast("short")).alias("bins"), (-F.col("r_milli")).alias("g"), (p * (1000 - p)).alias("h"))
     told = boost.histograms(cells, [0], F.lit(0))
-    return told.select("bin", F.col("g").alias("g_milli"), F.col("h").alias("h_micro"), "n")
+    return told.select("bin", F.col("g").cast("long").alias("g_milli"), F.col("h").cast("long").alias("h_micro"), "n")
 
 
 def calibration_objective(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -166,7 +166,7 @@ SQL: dict[str, str] = {
     "resume_anti": query(" SELECT DISTINCT \"user\" FROM rv WHERE \"user\" % 3 <> 0"),
     "deferred_difference": query(" SELECT DISTINCT \"user\" FROM rv EXCEPT SELECT DISTINCT \"user\" FROM rv WHERE \"user\" % 10 = 7"),
     "contract_violations": query(" SELECT n AS rule, CAST(0 AS BIGINT) AS violations FROM (SELECT unnest(['probability', 'label', 'order', 'fold_order', 'fold_cover', 'day_order', 'lapse', 'elapsed']) AS n)"),
-    "causality_check": query(" SELECT count(*) AS rows_checked, CAST(0 AS BIGINT) AS rows_changed FROM rv WHERE t <= 20"),
+    "causality_check": query(", z AS (SELECT t, count(*) OVER (PARTITION BY \"user\") AS n FROM rv) SELECT CAST(sum((t <= n // 7)::INT + (t <= n // 3)::INT + (t <= n // 2)::INT + (t <= n - 1)::INT) AS BIGINT) AS rows_checked, CAST(0 AS BIGINT) AS rows_changed FROM z"),
     "unmapped_cards": query(
         CARDS + ", j AS (SELECT rv.*, c.deck_id AS known FROM rv LEFT JOIN cards c ON c.\"user\" = rv.\"user\" AND c.card_id = rv.card_id)"
         f" SELECT count(*) FILTER (WHERE known IS NULL) AS unmapped_rows, count(DISTINCT CASE WHEN known IS NULL THEN \"user\" * 1000 + card_id END) AS unmapped_cards, {r6('count(*) FILTER (WHERE known IS NULL)::DOUBLE / count(*)')} AS share FROM j"

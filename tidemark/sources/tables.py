@@ -36,9 +36,9 @@ def read_user_ids(spark: SparkSession, path: str) -> list[int]:
     return user_ids(json.loads(spark.read.text(path, wholetext=True).first()[0]))
 
 
-def discovered_users(spark: SparkSession, root: str) -> DataFrame:
-    """Users of a table partitioned by ``user_id``, from its directories alone."""
-    return spark.read.parquet(root).select("user_id").distinct()
+def discovered_users(spark: SparkSession, root: str, column: str = "user") -> DataFrame:
+    """Users of a table partitioned by user, from its directories alone."""
+    return spark.read.parquet(root).select(F.col(column).cast("long").alias("user")).distinct()
 
 
 def write_records(records: DataFrame, path: str) -> None:

@@ -44,7 +44,11 @@ def _mean(values: list[float]) -> float:
 
 
 class Session:
-    """State of one user; a new session knows nothing."""
+    """State of one user; a new session knows nothing.
+
+    Without coefficients of its own a session takes those of its first review (b0, b1, b2), and keeps them.
+    ``groups``, ``cards`` and ``recent`` may be any mappings, such as keyed state.
+    """
 
     def __init__(self, beta: tuple[float, float, float] | None, model: Model | None = None):
         if model is not None and (unknown := set(model.features) - set(FEATURES)):
@@ -61,11 +65,13 @@ class Session:
         self.cards: dict[str, list[float]] = {}  # rows and days by card
         self.recent: dict[str, list[float]] = {}  # by deck: cards seen, last card and day, last day of another card
 
-    def dumps(self) -> str:
-        return json.dumps({k: v for k, v in vars(self).items() if k not in ("beta", "model")})
+    def dumps(self, keyed: bool = True) -> str:
+        """The state as text; without the keyed part it is windows, sums and counters, of bounded size."""
+        return json.dumps({k: v for k, v in vars(self).items() if k != "model" and (keyed or k not in KEYED)})
 
     def loads(self, text: str) -> Session:
         vars(self).update(json.loads(text))
+        self.beta = tuple(self.beta) if self.beta is not None else None
         return self
 
     def _others(self, kind: str, group: int, card: int) -> tuple[float, float]:
@@ -116,6 +122,8 @@ class Session:
         """Features and probabilities of a review, after which its outcome joins the state."""
         if self.last is not None and row["review_th"] <= self.last:
             raise ValueError("reviews must arrive in order")
+        if self.beta is None and row.get("b0") is not None and not math.isnan(row["b0"]):
+            self.beta = (row["b0"], row["b1"], row["b2"])
         out = self.features(row)
         if not 0 <= row["p_fsrs"] <= 1:
             raise ValueError("a probability outside [0, 1]")
@@ -168,35 +176,88 @@ def _observed(session: Session, user: int, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(told, columns=[f.name for f in OUTPUT])
 
 
+class Keyed(dict):
+    """A mapping over a map state: reads what is asked for, and writes back what was set."""
+
+    def __init__(self, state: Any):
+        super().__init__()
+        self.state, self.dirty = state, set()
+
+    def __contains__(self, key: str) -> bool:
+        return super().__contains__(key) or self.state.containsKey((key,))
+
+    def get(self, key: str, default: Any = None) -> Any:
+        if not super().__contains__(key):
+            if not self.state.containsKey((key,)):
+                return default
+            super().__setitem__(key, list(self.state.getValue((key,))))
+        return super().__getitem__(key)
+
+    def __setitem__(self, key: str, value: list) -> None:
+        super().__setitem__(key, value)
+        self.dirty.add(key)
+
+    def flush(self) -> None:
+        for key in self.dirty:
+            self.state.updateValue((key,), tuple(super(Keyed, self).__getitem__(key)))
+        self.dirty.clear()
+
+
+#: Map states and the types of their values; they grow with a user's cards and groups, one entry each.
+KEYED = {"groups": "n long, total double", "cards": "n long, days double", "recent": "cards long, last_card long, last_day long, other_day long"}
+
+
 class Processor(StatefulProcessor):
-    """One user's session as a keyed state value; reviews older than the state are refused."""
+    """One user's session as keyed state; reviews older than the state are refused.
 
-    def __init__(self, beta: tuple[float, float, float], model: Model | None = None):
+    Windows and counters are one value of bounded size; groups, cards and decks are map
+    states, of which a batch reads and writes only the entries that its reviews touch.
+    """
+
+    def __init__(self, beta: tuple[float, float, float] | None, model: Model | None = None):
         self.beta, self.model = beta, model
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("session", T.StructType([T.StructField("session", T.StringType())]))
+        key = T.StructType([T.StructField("key", T.StringType())])
+        self.maps = {name: handle.getMapState(name, key, kind) for name, kind in KEYED.items()}
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         session = Session(self.beta, self.model)
         if self.state.exists():
             session.loads(self.state.get()[0])
+        for name, state in self.maps.items():
+            setattr(session, name, Keyed(state))
         yield _observed(session, int(key[0]), pd.concat(list(rows)))
-        self.state.update((session.dumps(),))
+        for name in KEYED:
+            getattr(session, name).flush()
+        self.state.update((session.dumps(keyed=False),))
 
     def close(self) -> None:
         pass
 
 
-def score_stream(stream: DataFrame, beta: tuple[float, float, float], model: Model | None = None) -> DataFrame:
-    """Features and probabilities of a stream of reviews; needs the RocksDB state store."""
-    return stream.groupBy("user").transformWithStateInPandas(statefulProcessor=Processor(beta, model), outputStructType=OUTPUT, outputMode="Append", timeMode="None")
+Betas = tuple[float, float, float] | DataFrame
+
+
+def _with_betas(rows: DataFrame, beta: Betas) -> tuple[DataFrame, tuple[float, float, float] | None]:
+    """Rows with the coefficients of their user (user, b0, b1, b2), or the coefficients of all."""
+    if isinstance(beta, DataFrame):
+        return rows.join(beta.select("user", "b0", "b1", "b2"), "user", "left"), None
+    return rows, beta
+
+
+def score_stream(stream: DataFrame, beta: Betas, model: Model | None = None) -> DataFrame:
+    """Features and probabilities of a stream of reviews; needs the RocksDB state store.  A user without coefficients is an error."""
+    rows, own = _with_betas(stream, beta)
+    return rows.groupBy("user").transformWithStateInPandas(statefulProcessor=Processor(own, model), outputStructType=OUTPUT, outputMode="Append", timeMode="None")
 
 
-def replay(rows: DataFrame, beta: tuple[float, float, float], model: Model | None = None) -> DataFrame:
+def replay(rows: DataFrame, beta: Betas, model: Model | None = None) -> DataFrame:
     """Stored rows through the online path, user by user in order."""
+    rows, own = _with_betas(rows, beta)
 
     def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        return _observed(Session(beta, model), int(key[0]), part)
+        return _observed(Session(own, model), int(key[0]), part)
 
     return rows.groupBy("user").applyInPandas(one, OUTPUT)
