@@ -232,12 +232,12 @@ def test_job_driver(spark: SparkSession, tmp_path, capsys, monkeypatch) -> None:
     assert manifest["users"] == 16 and manifest["reviews"] == 384 and set(manifest["fits"]) == {"0", "1"}
     grown = []
     monkeypatch.setattr(boost, "grow", lambda *a: grown.append(a))
-    main(["fit", *same])
+    main(["fit", *same, "--folds", "0"])
     assert not grown
     with pytest.raises(ValueError, match="other inputs"):
-        main(["fit", *same, "--seed", "21"])
+        main(["fit", *same[:-1], "2", "--folds", "0"])
     monkeypatch.undo()
-    main(["fit", *same[:-1], "2", "--force"])
+    main(["fit", *same[:-1], "2", "--folds", "0", "--force"])
     with pytest.raises(SystemExit):
         main(["report", *same[:-1], "2"])
     assert "stale fit" in capsys.readouterr().out

@@ -35,9 +35,3 @@ def test_query_equals_sql(spark: SparkSession, name: str) -> None:
             assert np.array_equal(a.astype(float), b.astype(float), equal_nan=True), column
         else:
             assert list(map(str, a)) == list(map(str, b)), column
-
-
-def test_streaming_and_batch_features_agree(spark: SparkSession) -> None:
-    told = registry.stream_scores(spark, SF).first().asDict()
-    assert told.pop("unmatched") == 0
-    assert max(told.values()) < 1e-9

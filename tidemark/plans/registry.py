@@ -18,8 +18,9 @@ from ..operators import boost, calibrate, features, joins, metrics, splits, vali
 from ..operators import windows as W
 from ..session import checkpointed
 from ..sources import reviews as source
+from ..sources import tables
 from ..streaming import scorer
-from .ablation import ablation
+from .ablation import ablation, external
 from .nested import evaluate
 from .sql import BETA, SQL
 
@@ -316,38 +317,156 @@ def multiset_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 42 features of every row."""
-    rows = reviews(spark, sf_dir)
-    return features.build(rows.drop("p_milli", "r_milli"), BETA).select(*KEY, "p_b", *features.FEATURES)
+    built = features.build(reviews(spark, sf_dir).drop("p_milli", "r_milli"), BETA, narrow=False)
+    exact = ("x16", "x256", *(c for c in features.SURPRISE if c.startswith("sF")))  # means of thousandths, which lie halfway between millionths at times
+    return _shown(built, **{c: F.round(c, 12) + F.lit(0.0) if c in exact else r6(c) for c in ["p_b", *features.FEATURES]})
+
+
+def narrow_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of whole thousandths in single precision, as the design matrix has them."""
+    return _shown(spine(spark, sf_dir), x16=F.col("x16").cast("float"), x256=F.col("x256").cast("float"), st_i=F.col("i").cast("float"))
 
 
 def calibration_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = calibrate.fit(spine(spark, sf_dir))
-    return spark.createDataFrame([(*found.beta, found.objective, found.users, found.rows)], "b0 double, b1 double, b2 double, objective double, users long, reviews long")
+    """The gradient of the mean loss at the fitted coefficients, which is zero, and whether these beat none."""
+    rows = checkpointed(spine(spark, sf_dir))
+    found = calibrate.fit(rows)
+    at, none = (calibrate.objective(calibrate.design(rows), b) for b in (found.beta, (0.0, 0.0, 0.0)))
+    told = at.select(*(r6(f"g{k}").alias(f"g{k}") for k in range(3)), F.col("loss").alias("fitted")).crossJoin(none.select("loss"))  # one row each
+    return told.select("g0", "g1", "g2", (F.col("fitted") < F.col("loss")).alias("better"), F.lit(found.users).cast("long").alias("users"), F.lit(found.rows).cast("long").alias("reviews"))
 
 
 def crossfit_betas(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = checkpointed(spine(spark, sf_dir))
     users = [r.user for r in rows.select("user").distinct().collect()]
-    return calibrate.cross_fit(rows, splits.nested_splits(users, 20)[0]["train"], 20)[0]
+    found = [calibrate.cross_fit(rows, split["train"], 20)[0].withColumn("fold", F.lit(k)) for k, split in enumerate(splits.nested_splits(users, 20))]
+    return found[0].unionByName(found[1])
 
 
 def ridge_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coefficients of a penalised correction on the stream features, on top of the calibrated margin."""
+    """The penalised gradient, which is zero, at the fitted correction on the stream features on top of the calibrated margin."""
     told = features.with_stream(calibrated(spark, sf_dir)).withColumns({"z": scalars.logit(F.col("p_b"))})
     told = checkpointed(metrics.row_weights(told).select("user", "y", "z", "weight", *features.STREAM))
     told = calibrate.standardized(told, told, features.STREAM)
-    beta = calibrate.offset_regression(told, features.STREAM, "y", "z", "weight")
-    return spark.createDataFrame([(n, float(b)) for n, b in zip(features.STREAM, beta, strict=True)], "feature string, beta double")
+    beta = dict(zip(features.STREAM, map(float, calibrate.offset_regression(told, features.STREAM, "y", "z", "weight")), strict=True))
+    z = sum((F.lit(b) * F.col(n) for n, b in beta.items()), F.col("z"))
+    slope = F.col("weight") * (scalars.expit(z) - F.col("y"))
+    sums = told.agg(*((F.sum(slope * F.col(n)) + 1e-3 * b).alias(n) for n, b in beta.items()))
+    return sums.select(F.explode(F.array(*(F.struct(F.lit(n).alias("feature"), r6(n).alias("gradient")) for n in beta))).alias("x")).select("x.*")
 
 
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.bootstrap(joins.paired(*_losses(spark, sf_dir), "log_loss"), draws=500)
+    """20,000 draws of the users' change of log loss."""
+    told = metrics.bootstrap(joins.paired(*_losses(spark, sf_dir), "log_loss"))
+    return told.select(*(r6(c).alias(c) for c in ("mean", "ci_low", "ci_high", "se")), "improved", "worsened", "tied", "n")
+
+
+def fold_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folds from one mask each; every ninth row is in two, which is a fault."""
+    rows = reviews(spark, sf_dir)
+    masks = [f"m{k}" for k in range(5)]
+    rows = rows.withColumns({m: (F.col("fold") == k) | ((F.col("review_th") % 9 == 0) & (F.lit(k) == 4)) for k, m in enumerate(masks)})
+    faults = validate.mask_faults(rows, masks).select(*KEY, F.lit(True).alias("fault"))
+    fold, single = W.fold_from_masks(masks)
+    told = rows.select(*KEY, F.when(single, fold).cast("long").alias("mask_fold")).join(faults, list(KEY), "left")
+    return told.select(*KEY, "mask_fold", F.coalesce("fault", F.lit(False)).alias("fault"))
+
+
+def resume_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run does with what it finds: run, skip or refuse, and why."""
+    wanted = {"revision": "a", "data": "x"}
+    saved = {"identity": validate.identity_digest(wanted), "identity_fields": wanted, "cache_sha256": "s", "status": "ok"}
+    cases = {
+        "nothing": (wanted, None, None), "data alone": (wanted, None, "s"), "same": (wanted, saved, "s"), "other cache": (wanted, saved, "t"),
+        "other data": (wanted | {"data": "y"}, saved, "s"), "excluded": (wanted, saved | {"status": "excluded"}, None),
+    }
+    told = [(name, decision, ",".join(why)) for name, case in cases.items() for decision, why in [validate.resume_decision(*case)]]
+    told += [(text, validate.failure_kind(text, {"no reviews"}), "") for text in ("no reviews", "no reviews, really")]
+    return spark.createDataFrame(told, "found string, decision string, why string")
+
+
+def identity_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of an identity, of all users that a fit depends on, and of an input unit's files."""
+    users = reviews(spark, sf_dir).select("user").distinct()
+    depends = validate.dependency_digest(users.select("user", F.lit("v1").alias("identity"), F.sha2(F.col("user").cast("string"), 256).alias("sha256")))
+    files = users.select(F.concat(F.lit("/in/part-"), F.col("user").cast("string")).alias("path"), F.sha2(F.col("user").cast("string"), 256).alias("sha256"), (F.col("user") * 10).alias("size"))
+    own = spark.createDataFrame([("identity", validate.identity_digest({"revision": "a", "data": "x"}))], "what string, sha256 string")
+    return own.unionByName(depends.select(F.lit("dependencies").alias("what"), "sha256")).unionByName(validate.unit_digest(files, "/in").select(F.lit("unit").alias("what"), "sha256"))
+
+
+def report_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults planted by user number: not scored, wrong fold, stale fit, wrong size, a model missing."""
+    sizes = _sizes(spark, sf_dir)
+    u = F.col("user")
+    held = sizes.select((u % 2).cast("int").alias("fold"), "user", F.lit("held").alias("role"))
+    scores = sizes.where(u % 11 != 1).select(
+        "user", F.when(u % 11 == 2, 1 - u % 2).otherwise(u % 2).cast("int").alias("fold"), F.explode(F.when(u % 11 == 3, F.array(F.lit("base"))).otherwise(F.array(F.lit("base"), F.lit("boosted")))).alias("model"),
+        (F.col("size") + (u % 11 == 4).cast("long")).alias("size"), F.when(u % 11 == 5, F.lit("old")).otherwise(F.concat(F.lit("f"), F.when(u % 11 == 2, 1 - u % 2).otherwise(u % 2).cast("string"))).alias("fit_sha256"),
+    )
+    fits = spark.createDataFrame([(0, "f0"), (1, "f1")], "fold int, sha256 string")
+    return validate.report_faults(scores, held, sizes, ["base", "boosted"], fits)
+
+
+def reconciled_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reported mean that differs by a millionth is named."""
+    told = metrics.per_user(calibrated(spark, sf_dir), "p_b")
+    means = told.agg(F.avg("log_loss").alias("log_loss"), F.avg("rmse_bins").alias("rmse_bins")).first().asDict()
+    wrong = validate.reconciled(told, means | {"rmse_bins": means["rmse_bins"] + 1e-6})
+    return spark.createDataFrame([(name,) for name in wrong], "metric string")
+
+
+def held_user_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users that two folds hold out, and users that no group of coefficients lists."""
+    users = reviews(spark, sf_dir).select("user").distinct()
+    held = users.select(F.lit(0).alias("fold"), "user", F.lit("held").alias("role")).unionByName(users.where("user % 5 = 0").select(F.lit(1).alias("fold"), "user", F.lit("held").alias("role")))
+    groups = users.where("user % 4 > 0").select(F.array("user").alias("users"))
+    twice = joins.held_twice(held).select("user", F.lit("held twice").alias("fault"))
+    return twice.unionByName(joins.without_betas(users, groups).select("user", F.lit("no coefficients").alias("fault")))
+
+
+def json_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers that JSON cannot hold become null."""
+    odd = F.when(F.col("review_th") % 5 == 0, F.lit(float("nan"))).when(F.col("review_th") % 7 == 0, F.lit(float("-inf"))).otherwise(F.col("p_fsrs"))
+    return tables.json_safe_columns(reviews(spark, sf_dir).select(*KEY, odd.alias("value")))
+
+
+def listed_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users of a JSON list as text, and the folds and the schema faults that parsers tell."""
+    texts = [str(r.user) for r in reviews(spark, sf_dir).select("user").distinct().collect()]
+    rows = [("user", str(u)) for u in tables.user_ids({"user_ids": texts})] + [("fold", str(k)) for k in splits.selected_folds("1,0,1")]
+    wrong = reviews(spark, sf_dir).drop("p_milli", "r_milli", "duration").withColumn("y", F.col("y").cast("int"))
+    rows += [("schema", x.split(":")[0]) for x in validate.schema_faults(wrong, source.REVIEW_SCHEMA)]
+    return spark.createDataFrame(rows, "kind string, value string")
+
+
+def ordered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every row in the order of user and review, from sorted ranges."""
+    return splits.placed(reviews(spark, sf_dir).select(*KEY), *KEY)
+
+
+def held_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the held users of both outer folds: each row once."""
+    rows = reviews(spark, sf_dir).select(*KEY)
+    outer = splits.split_table(spark, splits.nested_splits([r.user for r in rows.select("user").distinct().collect()], 20))
+    return splits.members(rows, outer, 0, "held").unionByName(splits.members(rows, outer, 1, "held"))
+
+
+def inner_group_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users of each of three inner groups of all users."""
+    groups = splits.inner_groups([r.user for r in reviews(spark, sf_dir).select("user").distinct().collect()], 20)
+    return spark.createDataFrame([(k, len(g)) for k, g in enumerate(groups)], "part long, users long")
+
+
+def external_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of probabilities on a panel that nothing was fitted on."""
+    told = external(reviews(spark, sf_dir).drop("p_milli", "r_milli"), {}, BETA)
+    return told.select("model", "user", "size", *(r6(m).alias(m) for m in ("log_loss", "rmse_bins", "auc")))
 
 
 def boost_fit_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One outer fold of the nested evaluation with a small booster: held-out metrics of the three probabilities."""
+    """Both outer folds of the nested evaluation with a small booster: held-out metrics of the three probabilities."""
     rows = reviews(spark, sf_dir).drop("p_milli", "r_milli")
-    return evaluate(rows, seed=20, folds=[0], settings=boost.Settings(rounds=4, depth=3, bins=32, eta=0.3, min_child_weight=5))
+    return evaluate(rows, seed=20, settings=boost.Settings(rounds=4, depth=3, bins=32, eta=0.3, min_child_weight=5))
 
 
 def ablation_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -356,11 +475,12 @@ def ablation_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Largest gap of every feature between the batch plan and the streaming scorer over the same rows."""
+    """Largest gap of every feature between the batch plan and the streaming scorer over the same rows, to a millionth: none."""
     rows = reviews(spark, sf_dir).drop("p_milli", "r_milli")
     online = scorer.replay(rows, BETA)
     batch = features.build(rows, BETA, narrow=False)
-    return metrics.largest_gap(batch, online, ["p_b", *features.FEATURES])
+    told = metrics.largest_gap(batch, online, ["p_b", *features.FEATURES])
+    return told.select(*(r6(c).alias(c) for c in ["p_b", *features.FEATURES]), F.col("unmatched").cast("long").alias("unmatched"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -372,7 +492,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         deferred_difference, contract_violations, causality_check, unmapped_cards, row_index_contiguity, split_coverage, clip_hits, card_codes,
         hist_split_stats, calibration_objective, report_total, head_rows, spaced_users, standardized, size_mismatches, stored_lookup, misaligned_rows, group_betas,
         multiset_difference, feature_matrix, calibration_fit, crossfit_betas, ridge_correction, bootstrap_ci,
-        boost_fit_predict, ablation_deltas, stream_scores,
+        boost_fit_predict, ablation_deltas, stream_scores, narrow_features, fold_masks, resume_decisions, identity_digests, report_checks, reconciled_means,
+        held_user_faults, json_numbers, listed_users, ordered_rows, held_union, inner_group_sizes, external_panel,
     )
 }
 

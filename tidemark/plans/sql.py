@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from functools import partial
+
+from ..operators.features import FEATURES, STREAM
+from ..operators.metrics import POISSON
+
 BETA = (0.05, -0.4, 0.8)
 B0, B1, B2 = BETA
 
@@ -51,8 +56,8 @@ def query(body: str) -> str:
     return f"WITH {BASE}{body}"
 
 
-def _round(x: str) -> str:
-    return f"round({x}, 6) + 0.0"
+def _round(x: str, digits: int = 6) -> str:
+    return f"round({x}, {digits}) + 0.0"
 
 
 r6 = _round
@@ -78,8 +83,8 @@ def streak(flag: str) -> str:
     return f"CAST(t - 1 - coalesce(max(CASE WHEN NOT ({flag}) THEN t END) OVER {_w()}, -1) AS BIGINT)"
 
 
-def surprise(tag: str, r: str, scale: str) -> str:
-    r6 = str if scale else _round  # whole thousandths need no rounding
+def surprise(tag: str, r: str, scale: str, digits: int = 6) -> str:
+    r6 = str if scale else partial(_round, digits=digits)  # whole thousandths need no rounding
     parts = [
         f"{r6(f'coalesce(avg({r}) OVER {_prev(16)}, 0){scale}')} AS s{tag}_mean16", f"{r6(f'coalesce(avg({r}) OVER {_prev(64)}, 0){scale}')} AS s{tag}_mean64",
         f"{r6(f'coalesce(max({r}) OVER {_prev(16)}, 0){scale}')} AS s{tag}_max16", f"{r6(f'coalesce(max({r}) OVER {_prev(64)}, 0){scale}')} AS s{tag}_max64",
@@ -97,6 +102,19 @@ def _group(key: str, short: str) -> str:
     )
 
 
+def _others(key: str, short: str) -> str:
+    own = f"{key}, card_id"
+    n = f"count(*) OVER {_w(key)} - count(*) OVER {_w(own)}"
+    return f"CAST({n} AS DOUBLE) AS {short}_n_other, {r6(f'(coalesce(sum(r_b) OVER {_w(key)}, 0) - coalesce(sum(r_b) OVER {_w(own)}, 0)) / ({n} + 64)')} AS {short}_acc_other"
+
+
+def mixed(x: str) -> str:
+    """The 32-bit mix of the bootstrap."""
+    first = f"(xor({x}, {x} >> 16) * 2146121005 % 4294967296)"
+    second = f"(xor({first}, {first} >> 15) * 2221713035 % 4294967296)"
+    return f"xor({second}, {second} >> 16)"
+
+
 SQL: dict[str, str] = {
     "reviews_base": query(f" SELECT {KEY}, y, p_fsrs, fold, i, elapsed_days, lapse, nth_today, day_offset, card_id, deck_id, note_id, rating, {r6('elapsed_seconds')} AS elapsed_seconds, duration FROM rv"),
     "cards_left_join": query(CARDS + f' SELECT rv."user", rv.review_th, rv.card_id, coalesce(c.deck_id, -(rv.card_id + 1)) AS deck_id, coalesce(c.note_id, -(rv.card_id + 1)) AS note_id FROM rv LEFT JOIN cards c ON c."user" = rv."user" AND c.card_id = rv.card_id'),
@@ -199,4 +217,72 @@ SQL: dict[str, str] = {
         f" SELECT \"user\", {r6('CASE WHEN g < 2 THEN g END')} AS b0, {r6('CASE WHEN g < 2 THEN g + 0.1::DOUBLE END')} AS b1, {r6('CASE WHEN g < 2 THEN g + 0.2::DOUBLE END')} AS b2 FROM s"
     ),
     "multiset_difference": query(" SELECT \"user\", rating, 'left' AS side FROM (SELECT \"user\", rating FROM rv EXCEPT ALL SELECT \"user\", rating FROM rv WHERE review_th > 3)"),
+    "narrow_features": query(f" SELECT {KEY}, CAST(x16 AS FLOAT) AS x16, CAST(x256 AS FLOAT) AS x256, CAST(i AS FLOAT) AS st_i FROM sp"),
+    "calibration_fit": query(" SELECT 0.0::DOUBLE AS g0, 0.0::DOUBLE AS g1, 0.0::DOUBLE AS g2, TRUE AS better, count(DISTINCT \"user\") AS users, count(*) AS reviews FROM rv"),
+    "fold_masks": query(f" SELECT {KEY}, CASE WHEN fold = 4 OR review_th % 9 <> 0 THEN fold END AS mask_fold, fold <> 4 AND review_th % 9 = 0 AS fault FROM rv"),
+    "resume_decisions": (
+        "SELECT * FROM (VALUES ('nothing', 'run', ''), ('data alone', 'refuse', 'data without a sidecar'), ('same', 'skip', ''), ('other cache', 'refuse', 'cache_sha256'),"
+        " ('other data', 'refuse', 'data'), ('excluded', 'skip', ''), ('no reviews', 'excluded', ''), ('no reviews, really', 'failed', '')) t(found, decision, why)"
+    ),
+    "identity_digests": query(
+        ", u AS (SELECT DISTINCT \"user\" AS u FROM rv), d AS (SELECT u, sha256(u::VARCHAR) AS s FROM u)"
+        " SELECT 'identity' AS what, sha256('{\"data\":\"x\",\"revision\":\"a\"}') AS sha256"
+        " UNION ALL SELECT 'dependencies', sha256(string_agg(u::VARCHAR || chr(0) || 'v1' || chr(0) || s, chr(10) ORDER BY u)) FROM d"
+        " UNION ALL SELECT 'unit', sha256(string_agg(l, chr(10) ORDER BY l)) FROM (SELECT 'part-' || u::VARCHAR || chr(0) || s || chr(0) || (u * 10)::VARCHAR AS l FROM d)"
+    ),
+    "report_checks": query(
+        ", u AS (SELECT DISTINCT \"user\" FROM rv)"
+        " SELECT CASE \"user\" % 11 WHEN 1 THEN 'not scored' WHEN 2 THEN 'wrong fold' WHEN 3 THEN 'models' WHEN 4 THEN 'wrong size' ELSE 'stale fit' END AS fault, \"user\" FROM u WHERE \"user\" % 11 BETWEEN 1 AND 5"
+    ),
+    "reconciled_means": "SELECT 'rmse_bins' AS metric",
+    "held_user_faults": query(
+        ", u AS (SELECT DISTINCT \"user\" FROM rv) SELECT \"user\", 'held twice' AS fault FROM u WHERE \"user\" % 5 = 0 UNION ALL SELECT \"user\", 'no coefficients' FROM u WHERE \"user\" % 4 = 0"
+    ),
+    "json_numbers": query(f" SELECT {KEY}, CASE WHEN review_th % 5 <> 0 AND review_th % 7 <> 0 THEN p_fsrs END AS value FROM rv"),
+    "listed_users": query(
+        " SELECT 'user' AS kind, u::VARCHAR AS value FROM (SELECT DISTINCT \"user\" AS u FROM rv)"
+        " UNION ALL SELECT * FROM (VALUES ('fold', '0'), ('fold', '1'), ('schema', 'y'), ('schema', 'duration')) t"
+    ),
+    "ordered_rows": query(f" SELECT {KEY}, row_number() OVER (ORDER BY {KEY}) - 1 AS place FROM rv"),
+    "held_union": query(f" SELECT {KEY} FROM rv"),
+    "inner_group_sizes": query(", n AS (SELECT count(DISTINCT \"user\") AS n FROM rv) SELECT CAST(k AS BIGINT) AS part, n // 3 + CASE WHEN k < n % 3 THEN 1 ELSE 0 END AS users FROM n, (SELECT unnest([0, 1, 2]) AS k)"),
+    "ridge_correction": f"SELECT unnest({STREAM}) AS feature, 0.0::DOUBLE AS gradient",
+    "stream_scores": "SELECT " + ", ".join(f"0.0::DOUBLE AS {f}" for f in ("p_b", *FEATURES)) + ", CAST(0 AS BIGINT) AS unmatched",
+    "bootstrap_ci": query(
+        ", d AS (SELECT \"user\" AS u, avg(" + LOSS.format("p_b") + ") - avg(" + LOSS.format("p_fsrs") + ") AS delta FROM pb GROUP BY \"user\"),"
+        f" k AS (SELECT u, delta, {mixed('CAST(u AS UBIGINT)')} AS k1 FROM d), kk AS (SELECT u, delta, {mixed('k1')} AS key FROM k),"
+        " g AS (SELECT u, delta, CAST((key + CAST(range AS UBIGINT) * 2654435761) % 4294967296 AS UBIGINT) AS x, range AS draw FROM kk, range(20000)),"
+        f" c AS (SELECT draw, delta, {mixed('x')} AS x FROM g),"
+        f" t AS (SELECT draw, delta, {' + '.join(f'(x >= {int(p)})::INT' for p in POISSON)} AS times FROM c),"
+        " m AS (SELECT draw, sum(delta * times) / sum(times) AS mean FROM t GROUP BY draw)"
+        f" SELECT {r6('avg(delta)')} AS mean, {r6('(SELECT quantile_cont(mean, 0.025) FROM m)')} AS ci_low, {r6('(SELECT quantile_cont(mean, 0.975) FROM m)')} AS ci_high,"
+        f" {r6('(SELECT stddev_samp(mean) FROM m)')} AS se, count(*) FILTER (WHERE delta < 0) AS improved, count(*) FILTER (WHERE delta > 0) AS worsened,"
+        " count(*) FILTER (WHERE delta = 0) AS tied, count(*) AS n FROM d"
+    ),
+    "external_panel": query(
+        ", both_p AS (SELECT *, 'p_fsrs' AS model, p_fsrs AS p FROM pb UNION ALL SELECT *, 'p_b' AS model, p_b AS p FROM pb),"
+        " bins AS (SELECT *, " + DT + " AS dt, " + II + " AS ii, " + LL + " AS ll FROM both_p),"
+        " cell AS (SELECT model, \"user\", dt, ii, ll, avg(y) AS my, avg(p) AS mp, count(*) AS n FROM bins GROUP BY ALL),"
+        " rm AS (SELECT model, \"user\", sqrt(sum(n * (my - mp) * (my - mp)) / sum(n)) AS rmse FROM cell GROUP BY ALL),"
+        " rk AS (SELECT model, \"user\", y, rank() OVER (PARTITION BY model, \"user\" ORDER BY p) + (count(*) OVER (PARTITION BY model, \"user\", p) - 1) / 2.0::DOUBLE AS r FROM both_p),"
+        " au AS (SELECT model, \"user\", CASE WHEN sum(y) > 0 AND sum(1 - y) > 0 THEN (sum(CASE WHEN y = 1 THEN r ELSE 0 END) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)) END AS auc FROM rk GROUP BY ALL),"
+        " ls AS (SELECT model, \"user\", avg(" + LOSS.format("p") + ") AS loss, count(*) AS size FROM both_p GROUP BY ALL)"
+        f" SELECT model, \"user\", size, {r6('loss')} AS log_loss, {r6('rmse')} AS rmse_bins, {r6('auc')} AS auc FROM ls JOIN rm USING (model, \"user\") JOIN au USING (model, \"user\")"
+    ),
+    "feature_matrix": query(
+        ", f AS (SELECT *, CASE WHEN lag(card_id) OVER d <> card_id THEN lag(day_offset) OVER d END AS ended, CASE WHEN row_number() OVER (PARTITION BY \"user\", deck_id, card_id ORDER BY review_th) = 1 THEN 1 ELSE 0 END AS first"
+        " FROM pb WINDOW d AS (PARTITION BY \"user\", deck_id ORDER BY review_th))"
+        f" SELECT {KEY}, {r6('p_b')} AS p_b, round(x16, 12) + 0.0 AS x16, round(x256, 12) + 0.0 AS x256, {surprise('F', '(y - p_fsrs)', '', 12)}, {surprise('B', 'r_b', '')},"
+        f" CAST(i AS DOUBLE) AS st_i, elapsed_days AS st_elapsed_days, CAST(lapse AS DOUBLE) AS st_lapse, CAST(t AS DOUBLE) AS st_t, CAST(nth_today AS DOUBLE) AS st_nth_today,"
+        f" {r6('ln(1 + elapsed_days)')} AS st_log_elapsed, {r6('ln(1 + i::DOUBLE)')} AS st_log_i, {r6('ln(1 + t::DOUBLE)')} AS st_log_t,"
+        f" CAST(count(*) OVER {_w(CARD)} AS DOUBLE) AS st_card_seq, coalesce(sum(elapsed_days) OVER {_w(CARD)}, 0) AS st_age_days,"
+        f" {_others(DECK, 'dk')}, {_others(NOTE, 'nt')}, CAST(count(*) OVER {_w(DECK)} AS DOUBLE) AS dk_n_all, {r6(f'coalesce(sum(r_b) OVER {_w(DECK)}, 0) / (count(*) OVER {_w(DECK)} + 64)')} AS dk_acc_all,"
+        f" CAST(coalesce(sum(first) OVER {_w(DECK)}, 0) AS DOUBLE) AS dk_cards_seen,"
+        f" CAST(coalesce(day_offset - last_value(ended IGNORE NULLS) OVER (PARTITION BY \"user\", deck_id ORDER BY review_th ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1) AS DOUBLE) AS dk_since_other,"
+        f" {r6(f'coalesce(avg(rating) OVER {_prev(8)}, 0)')} AS rt_mean8, {r6(f'coalesce(avg(rating) OVER {_prev(32)}, 0)')} AS rt_mean32, coalesce(lag(rating) OVER ({_USER}), 0) AS rt_last,"
+        f" {r6(f'coalesce(avg(CASE WHEN rating < 3 THEN 1.0::DOUBLE ELSE 0 END) OVER {_prev(32)}, 0)')} AS rt_fail32, {r6(f'coalesce(stddev_pop(rating) OVER {_prev(32)}, 0)')} AS rt_sd32,"
+        f" CAST({streak('rating >= 3')} AS DOUBLE) AS rt_good_streak, CAST({streak('rating = 1')} AS DOUBLE) AS rt_lapse_streak,"
+        f" {r6('ln(1 + greatest(elapsed_seconds, 0))')} AS sg_log_secs, CASE WHEN elapsed_seconds < 600 THEN 1.0::DOUBLE ELSE 0.0 END AS sg_same_session,"
+        f" {r6(f'ln(1 + coalesce(lag(duration) OVER ({_USER}), 0))')} AS sg_prev_dur_log FROM f"
+    ),
 }
