@@ -126,14 +126,22 @@ class Vocabulary:
         self.keys = keys[order]
         self.numbers = np.array([n for n, _ in table.values()], np.int64)[order]
         self.values = np.array([x for _, x in table.values()])[order]
-        self.bits = np.zeros(1 << 21, bool)
-        self.bits[(self.keys >> np.uint64(43)).astype(np.int64)] = True
+        #: First place of the keys with equal leading bits (beyond the end: none), and the most that share them.
+        lead = (self.keys >> np.uint64(42)).astype(np.int64)
+        self.first = np.full(1 << 22, len(self.keys), np.int32)
+        self.first[lead[::-1]] = np.arange(len(lead), dtype=np.int32)[::-1]
+        self.run = int(np.unique(lead, return_counts=True)[1].max())
+        self.padded = np.append(self.keys, np.zeros(self.run, np.uint64))
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of the keys that are pieces or begin one, and their places in the tables."""
-        maybe = np.flatnonzero(self.bits[(keys >> np.uint64(43)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.keys, keys[maybe]), len(self.keys) - 1)
-        hit = self.keys[at] == keys[maybe]
+        at = self.first[(keys >> np.uint64(42)).astype(np.int64)]
+        maybe = np.flatnonzero(at < len(self.keys))
+        at, keys = at[maybe], keys[maybe]
+        hit = self.padded[at] == keys
+        for k in range(1, self.run):
+            more = ~hit & (self.padded[at + k] == keys)
+            at, hit = np.where(more, at + k, at), hit | more
         return maybe[hit], at[hit]
 
     def spelled(self, character: bytes) -> list[int]:
@@ -191,7 +199,7 @@ def arcs(text: np.ndarray, after: int, vocab: Vocabulary) -> tuple[np.ndarray, n
         code[more] = code[more] * 256 + text[lone[more] + k]
     found.append((lone, lone + width[lone], np.full(len(lone), vocab.penalty), -1 - code))
     start, end, score, number = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.lexsort((start, end))
+    order = np.argsort(end * (n + 1) + start)
     return start[order], end[order], score[order], number[order]
 
 
@@ -243,20 +251,21 @@ class Stream:
         start, end, score, number = arcs(text, old, self.vocab)
         units = np.flatnonzero(opens)
         if len(units):
-            beyond = np.append(units, n)[np.searchsorted(units, start, side="right")]
-            inside = end <= beyond
+            beyond = np.append(units, n)[np.cumsum(opens)]
+            inside = end <= beyond[start]
             start, end, score, number = start[inside], end[inside], score[inside], number[inside]
         # the start of a unit counts from 0 anew, at a place of its own
         source = np.where(np.append(opens, False)[start], start + n + 1, start)
         best = [*self.best, *[_NEVER] * (n - old), *[0.0] * (n + 1)]
-        origin, piece = [0] * (n + 1), [0] * (n + 1)
-        for a, s, b, x, k in zip(source.tolist(), start.tolist(), end.tolist(), score.tolist(), number.tolist(), strict=True):
+        chosen = [0] * (n + 1)
+        for k, (a, b, x) in enumerate(zip(source.tolist(), end.tolist(), score.tolist(), strict=True)):
             total = best[a] + x
             if total > best[b]:
-                best[b], origin[b], piece[b] = total, s, k
-        base = self.end - old
-        self.origin += [base + x for x in origin[old + 1 :]]
-        self.piece += piece[old + 1 :]
+                best[b] = total
+                chosen[b] = k
+        arc = np.array(chosen[old + 1 :], np.int64)
+        self.origin += (start[arc] + (self.end - old)).tolist()
+        self.piece += number[arc].tolist()
         self.end += n - old
         keep = min(n, self.vocab.longest)
         self.tail, self.opens, self.best = text[n - keep :], opens[n - keep :], best[n - keep : n + 1]
@@ -277,14 +286,21 @@ class Stream:
         return told
 
     def _path(self, at: int) -> tuple[np.ndarray, np.ndarray]:
-        ids, ends = [], []
-        while at != self.root:
-            number = self.piece[at - self.root]
-            spelled = [number] if number >= 0 else self.vocab.spelled((-1 - number).to_bytes(4, "big").lstrip(b"\0") or b"\0")
-            ids += spelled[::-1]
-            ends += [at] * len(spelled)
-            at = self.origin[at - self.root]
-        return np.array(ids[::-1], np.int32), np.array(ends[::-1], np.int64)
+        ends, origin, root = [], self.origin, self.root
+        while at != root:
+            ends.append(at)
+            at = origin[at - root]
+        ends = np.array(ends[::-1], np.int64)
+        ids = np.array([self.piece[k] for k in (ends - root).tolist()], np.int64)
+        lost = np.flatnonzero(ids < 0)
+        if len(lost):
+            spelled = [self.vocab.spelled((-1 - int(k)).to_bytes(4, "big").lstrip(b"\0") or b"\0") for k in ids[lost]]
+            each = np.ones(len(ids), np.int64)
+            each[lost] = [len(x) for x in spelled]
+            own = np.repeat(ids < 0, each)
+            ids, ends = np.repeat(ids, each), np.repeat(ends, each)
+            ids[own] = [k for x in spelled for k in x]
+        return ids.astype(np.int32), ends
 
 
 def _joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
