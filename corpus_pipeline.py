@@ -1,14 +1,18 @@
 """Corpus pipeline: quality rules, language ID, near-dedup, substring dedup and packing over ``documents``.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and
-reread as the next stage's ``docs``.  Filtering stages take away the few ids they
-reject by an anti-join, which shuffles no text while these ids are few (the join is
-chosen by their counted size), and so a row without an id is never rejected; it goes
-only as a copy of another row.
+reread as the next stage's ``docs``.  Filtering stages take away the few rows they
+reject by an anti-join, which shuffles no text while these are few (the join is
+chosen by their counted size).  A row is known by its id, one without an id by its text
+and source; rows that share an id are rejected together.  Columns beyond those of
+documents may have any names and pass through.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,19 +23,49 @@ from tidemark.llm.shared import checkpointed, join_checked
 MIN_LANGUAGE_SCORE = 0.4
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    return join_checked(docs, rejected.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _any_columns(stage: Stage) -> Stage:
+    """Keep the names of further columns away from those that a stage makes."""
+
+    @wraps(stage)
+    def renamed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        plain = docs.toDF(*(c if c in DOCUMENT else f"extra{k}" for k, c in enumerate(docs.columns)))
+        return stage(spark, plain, sf_dir).toDF(*docs.columns)
+
+    return renamed
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Rows with a ``row_key``: the id, or for a row without one a hash of text and source beyond the ids."""
+    beyond = F.xxhash64("text", "source").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    return docs.withColumn("row_key", F.coalesce(F.col("doc_id").cast("long"), beyond))
+
+
+def _as_documents(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("row_key").alias("doc_id"), "text", "source")
+
+
+def _without(rows: DataFrame, rejected: DataFrame) -> DataFrame:
+    return join_checked(rows, rejected.select(F.col("doc_id").alias("row_key")), "row_key", "left_anti").drop("row_key")
 
 
+@_any_columns
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return _without(docs, quality_rules.apply(docs).where("not kept"))
+    rows = _keyed(docs)
+    return _without(rows, quality_rules.apply(_as_documents(rows)).where("not kept")).select(docs.columns)
 
 
+@_any_columns
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no language, or in none that scores well enough, go."""
-    found = language_id.apply(docs)
-    return _without(docs, found.where((F.col("lang_pred") == language_id.UNKNOWN) | (F.col("score") < MIN_LANGUAGE_SCORE)))
+    rows = _keyed(docs)
+    found = language_id.predict(_as_documents(rows), language_id.fit(docs))
+    return _without(rows, found.where((F.col("lang_pred") == language_id.UNKNOWN) | (F.col("score") < MIN_LANGUAGE_SCORE))).select(docs.columns)
 
 
 def _told_apart(docs: DataFrame) -> DataFrame:
@@ -53,6 +87,7 @@ def _told_apart(docs: DataFrame) -> DataFrame:
     return single.unionByName(checkpointed(again))
 
 
+@_any_columns
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies stays, repeated rows and rows without an id included."""
     rows = _told_apart(docs)
@@ -60,6 +95,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return join_checked(rows, copies, "row_key", "left_anti").select(docs.columns)
 
 
+@_any_columns
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose the passages that occur more than once."""
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
