@@ -67,3 +67,32 @@ def test_pipeline_keeps_one_copy_of_repeated_rows(spark: SparkSession) -> None:
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, a), (None, b), (2, c), (3, d), (4, e), (None, None), (5, None)], key=str)
     left = corpus_pipeline.drop_repeated_passages(spark, kept, SF).collect()
     assert sorted(len(r.text.split()) for r in left) == sorted([0, 0, *(len(t.split()) for t in (a, b, c, d, e))])
+
+
+def test_pipeline_filters_rows_without_an_id_and_passes_further_columns(spark: SparkSession) -> None:
+    """Rejected rows go with or without an id, clean ones stay, and further columns may be named like those of the stages."""
+    clean, bad = [sentences(k, 12) for k in range(50, 62)], "word " * 200
+    rows = [(k, t, "en", "s", None, k) for k, t in enumerate(clean)] + [(None, clean[0] + " more", "en", None, None, 90), (None, bad, "en", "s", None, 91), (99, bad, "en", "s", None, 92), (None, None, "en", "s", None, 93)]
+    clash = ["row_key", "n_words", "first", "kept_text", "score", "kept", "extra0", "extra6"]
+    docs = spark.createDataFrame(rows, SCHEMA + ", mark long").selectExpr("*", *(f"mark AS {c}" for c in clash)).repartition(3)
+    for stage in (corpus_pipeline.keep_quality, corpus_pipeline.keep_language, corpus_pipeline.drop_near_copies, corpus_pipeline.drop_repeated_passages):
+        told = stage(spark, docs, SF)
+        assert told.columns == docs.columns
+        found = told.collect()
+        assert all(r[c] == r.mark for r in found for c in clash)
+        marks = {r.mark for r in found}
+        if stage is corpus_pipeline.keep_quality:
+            assert marks == {*range(len(clean)), 90}
+        elif stage is corpus_pipeline.keep_language:
+            assert 93 not in marks and marks >= set(range(len(clean)))
+        assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_pipeline_quality_stage_equals_sql(spark: SparkSession) -> None:
+    import duckdb
+
+    connection = duckdb.connect()
+    connection.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = {k for k, kept in connection.sql(queries.ORACLE_SQL["op6_quality_rules"]).df()[["doc_id", "kept"]].itertuples(index=False) if kept}
+    told = corpus_pipeline.keep_quality(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+    assert {r.doc_id for r in told.select("doc_id").collect()} == want
