@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import hashlib
 import io
 import itertools
@@ -322,6 +323,44 @@ def test_toxicity_plain_and_disguised(spark: SparkSession, odd: DataFrame, empty
     assert all(r.predicted == 0 for r in blank)
 
 
+def test_toxicity_learns_from_all_labelled_documents(spark: SparkSession) -> None:
+    """More documents than any bound of a sample: trigrams, evidence and its log odds are those of plain counts over all."""
+    pick, rng = random.Random(11), np.random.default_rng(11)
+    words = ["".join(pick.choice("abdeghiknorstu") for _ in range(pick.randint(3, 7))) for _ in range(400)]
+    bad = ["wretched", "blighter", "scoundrel"]
+    docs = {k: " ".join(pick.choice(words) for _ in range(8)) + (f" {bad[k % 3]}" if k % 10 == 0 else "") for k in range(16_500)}
+    docs |= {k: " ".join(words[:40]) + " wretched" for k in range(16_500, 16_530)} | {k: " ".join(words[:39]) + f" more{k} wretched" for k in range(16_530, 16_560)}
+    toxic = {k: int(k % 10 == 0 or k >= 16_500) for k in docs}
+    frame, labels = labelled(spark, docs, "toxic", toxic)
+    ids = [k for k in docs if crc_fold(k, 3) != 1]
+    frame = frame.unionByName(spark.createDataFrame([(ids[0], docs[ids[0]] + " zz", None, None, None)] * 5, SCHEMA))  # the smallest text of an id counts
+    rows = {r.doc_id: r for r in toxicity.learned(frame, labels).collect()}
+    # each large group counts once, a near copy is similar to the first one
+    first, similar = next(k for k in ids if k >= 16_500), [k for k in ids if k >= 16_500]
+    want = sorted(set(ids) - set(similar) | {first})
+    assert len(want) > 10_000 and sorted(rows) == want and all(rows[k].text == docs[k] and rows[k].toxic == toxic[k] for k in want)
+
+    tokens = toxicity.Tokens(*buffers(pa.array([docs[k] for k in want])))
+    n, hits = collections.Counter(), collections.Counter()
+    pairs = {(f, d) for values in tokens.features() for f, d in zip(values.tolist(), tokens.document.tolist(), strict=True) if f}
+    n.update(f for f, _ in pairs)
+    hits.update(f for f, d in pairs if toxic[want[d]])
+    usual, odds = sum(toxic[k] for k in want) / len(want), {}
+    for f in n:
+        share = (hits[f] + 2 * usual) / (n[f] + 2)
+        ratio = hits[f] * np.log(share / usual) + (n[f] - hits[f]) * np.log((1 - share) / (1 - usual))
+        if hits[f] >= 2 and share > 2 * usual and ratio > 9:
+            odds[f] = np.log(share / (1 - share)) - np.log(usual / (1 - usual))
+    model = toxicity.fit(frame, labels)
+    assert len(odds) >= 3 and model.features.tolist() == sorted(odds) and model.weights == pytest.approx([odds[f] for f in sorted(odds)])
+    assert np.array_equal(model.trigrams, toxicity.costs(toxicity._trigram_counts(tokens.data, tokens.starts, tokens.ends)))
+
+    x = np.concatenate([np.ones((500, 1)), rng.normal(size=(500, 4))], axis=1)
+    y = (rng.random(500) < 1 / (1 + np.exp(-x @ [-1, 2, 0, 0.5, -1]))).astype(int)
+    beta = toxicity.calibrate(spark.createDataFrame([(int(b), a.tolist(), 1) for a, b in zip(x, y, strict=True)], "toxic int, x array<double>, n long").repartition(5), 0.5)
+    assert x.T @ (y - 1 / (1 + np.exp(-x @ beta))) == pytest.approx(np.array([1e-6, 0.5, 0.5, 0.5, 0.5]) * beta, abs=1e-5)
+
+
 def slow_restore(text: str, trigrams: np.ndarray, cost: float) -> tuple[float, set[str]]:
     """The least cost over all readings of a lattice, and the readings that have it."""
     costs = {}

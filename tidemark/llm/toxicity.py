@@ -18,15 +18,17 @@ documents among the labelled documents with it, provided that a likelihood ratio
 against the usual share is large.  A word counts with its strongest feature.  The sum
 and the largest of the evidence log odds over a document's distinct words, their
 number and the length of the text go through a logistic calibration, fitted on
-evidence from the other half of the sample.
+evidence from the other half of the labelled documents.
 
-Copies are no evidence of their own: a sampled document that is similar to one with a
+Copies are no evidence of their own: a labelled document that is similar to one with a
 smaller id, confirmed on full shingle sets, is not counted.
 
-Both models are fitted on at most ``max_rows`` labelled documents in the order of a
-hash of their id; trigram counts over 28 character classes and the strong features of
-that sample are what reaches the driver.  Scoring tests all words of a slice at once
-against a bit table, so only likely hits are looked up.
+Both models are fitted on all labelled documents outside the held-out fold, unless a
+caller asks for ``max_rows`` of them, in the order of a hash of their id.  Counts and
+the sums of each Newton step are added up where the documents are; trigram counts over
+28 character classes, the strong features and those sums are what reaches the driver.
+Scoring tests all words of a slice at once against a bit table, so only likely hits are
+looked up.
 
 Defined cases: null, empty and wordless texts score as texts without evidence; of
 several labels or texts of an id the smallest is learned from; without labels every
@@ -45,11 +47,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .near_dedup import Banding, full_sets, shingle_sets, sketch, verify
-from .shared import checkpointed, fold, one_row_an_id
+from .shared import checkpointed, fold, join_checked, one_row_an_id
 from .words import LOWER, Words, buffers, hash_spans, mix, slices
 
 #: What a leet character may stand for.
@@ -61,6 +63,9 @@ FRAGMENT = 2
 
 _CLASSES = 28  # a to z, anything else, and the word edge
 _EDGE, _OTHER = 27, 26
+#: Calibration of a model without documents, and the fineness of the sums that one is fitted on.
+BLANK = np.array([-30.0, 0, 0, 0, 0])
+STEPS = float(1 << 28)
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _LETTER = np.zeros(256, bool)
@@ -71,11 +76,12 @@ _CLASS = np.full(256, _OTHER, np.int64)
 _CLASS[97:123] = np.arange(26)
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[ord(c) for c in SEPARATORS]] = True
+_SUMS = ("toxic_0", "toxic_1", "n_0", "n_1")
 
 
 @dataclass(frozen=True)
 class Settings:
-    max_rows: int = 10_000
+    max_rows: int | None = None  # of labelled documents; none: all
     copy_percent: int = 80
     min_toxic: int = 2
     shrink: float = 2.0
@@ -314,14 +320,28 @@ def statistics(data: np.ndarray, offsets: np.ndarray, model: Model, decoder: Dec
     return np.stack(columns, axis=1), np.bincount(from_document, minlength=n)
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
-    """Logistic regression by Newton steps; the ridge spares the intercept."""
-    beta, penalty = np.zeros(x.shape[1]), np.diag([1e-6] + [ridge] * (x.shape[1] - 1))
+def _sums(batches: Iterator[pa.RecordBatch], beta: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Gradient and curvature of the log likelihood, in whole steps of 1 / ``STEPS`` so that no order of adding matters."""
+    for batch in batches:
+        if batch.num_rows:
+            y, n = (batch.column(k).to_numpy(zero_copy_only=False).astype(float) for k in (0, 2))
+            x = batch.column(1).flatten().to_numpy().reshape(len(y), -1)
+            p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+            each = np.concatenate([x * (y - p)[:, None], (x[:, :, None] * x[:, None, :] * (p * (1 - p))[:, None, None]).reshape(len(y), -1)], axis=1)
+            told = np.rint(each * n[:, None] * STEPS).astype(np.int64).sum(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(told))), pa.array(told)], ["at", "v"])
+
+
+def calibrate(rows: DataFrame, ridge: float) -> np.ndarray:
+    """Logistic regression of (toxic, x, n) rows by Newton steps over all of them; the ridge spares the intercept."""
+    size = len(BLANK)
+    beta, penalty = np.zeros(size), np.diag([1e-6] + [ridge] * (size - 1))
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ beta)
+        told = rows.mapInArrow(partial(_sums, beta=beta), "at long, v long").groupBy("at").agg(F.sum(F.col("v").cast("decimal(38,0)")).cast("double").alias("v")).collect()
+        sums = np.array([r.v for r in sorted(told)]) / STEPS  # size and size ** 2 rows
+        step = np.linalg.solve(sums[size:].reshape(size, size) + penalty, sums[:size] - penalty @ beta)
         beta += step * min(1, 4 / max(np.abs(step).max(), 1e-12))
-        if np.abs(step).max() < 1e-8:
+        if np.abs(step).max() < 1e-6:  # steps shrink quadratically
             break
     return beta
 
@@ -334,22 +354,23 @@ def score(data: np.ndarray, offsets: np.ndarray, model: Model, decoder: Decoder)
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Trigrams (kind 0) and features (kind 1) of labelled documents, with toxic and all documents of each half."""
+    trigrams = np.zeros(_CLASSES**3, np.int64)
     for batch in batches:
         for part in slices(batch):
             tokens = Tokens(*buffers(part.column(1)))
             toxic, half = (part.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (2, 3))
             inside = np.flatnonzero(tokens.ends > tokens.starts)
-            counts = _trigram_counts(tokens.data, tokens.starts[inside], tokens.ends[inside])
-            seen = np.flatnonzero(counts)
-            yield _counts(0, 0, seen.astype(np.uint64), np.zeros(len(seen), np.int64), counts[seen])
+            trigrams += _trigram_counts(tokens.data, tokens.starts[inside], tokens.ends[inside])
             values = np.concatenate(tokens.features())
             document = np.tile(tokens.document, 1 + len(PREFIXES))
             real = np.flatnonzero(values)
             _, first = np.unique(mix(values[real] ^ mix(document[real].astype(np.uint64) + np.uint64(1))), return_index=True)
-            for k in (0, 1):
-                own = real[first][half[document[real[first]]] == k]
-                found, which = np.unique(values[own], return_inverse=True)
-                yield _counts(1, k, found, np.bincount(which, weights=toxic[document[own]], minlength=len(found)).astype(np.int64), np.bincount(which, minlength=len(found)))
+            own = real[first]
+            found, which = np.unique(values[own], return_inverse=True)
+            groups = np.bincount(4 * which + 2 * half[document[own]] + toxic[document[own]], minlength=4 * len(found)).reshape(-1, 2, 2)
+            yield _counts(1, found, groups[:, :, 1], groups.sum(axis=2))
+    seen = np.flatnonzero(trigrams)
+    yield _counts(0, seen.astype(np.uint64), np.zeros((len(seen), 2), np.int64), np.stack([trigrams[seen], 0 * seen], axis=1))
 
 
 def _trigram_counts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -364,11 +385,9 @@ def _trigram_counts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> n
     return np.bincount(code[: at[-1]][place < np.repeat(size, size) - 2], minlength=_CLASSES**3)
 
 
-def _counts(kind: int, half: int, keys: np.ndarray, toxic: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [*(pa.array(np.full(len(keys), x, np.int32)) for x in (kind, half)), pa.array(keys.view(np.int64)), pa.array(toxic), pa.array(n.astype(np.int64))],
-        ["kind", "half", "key", "toxic", "n"],
-    )
+def _counts(kind: int, keys: np.ndarray, toxic: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    columns = [x.astype(np.int64) for x in (toxic[:, 0], toxic[:, 1], n[:, 0], n[:, 1])]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), *map(pa.array, columns)], ["kind", "key", *_SUMS])
 
 
 def _copy_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,69 +398,91 @@ def _copy_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(full):
                 halves = np.concatenate(sketch(values, bounds, Banding(bands=2, rows=1)), axis=1)
                 told = pa.ListArray.from_arrays(np.arange(0, halves.size + 1, 4, dtype=np.int32), pa.array(np.ascontiguousarray(halves).view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(full)), told], ["doc_id", "keys"])
+                equal = [pa.array(np.add.reduceat(mix(values + np.uint64(seed)), bounds[:-1][full]).view(np.int64)) for seed in (1, 2)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(full)), *equal, told], ["doc_id", "set_a", "set_b", "keys"])
 
 
-def without_copies(sample: DataFrame, percent: int) -> DataFrame:
-    """Rows of a bounded sample, one an id, without those similar to a row of smaller id.
+def copies(rows: DataFrame, percent: int) -> DataFrame:
+    """Ids of rows, one an id, that are similar to a row of smaller id.
 
-    A candidate is the smallest id under each of four minhashes; pairs are confirmed on full sets.
+    Of equal sets, by a 128-bit hash, all but the smallest id are copies.  Among the rest a
+    candidate is the smallest id under each of four minhashes; pairs are confirmed on full sets.
     """
-    keys = sample.select("doc_id", "text").mapInArrow(_copy_keys, "doc_id long, keys array<long>").select("doc_id", F.posexplode("keys"))
-    first = keys.groupBy("pos", "col").agg(F.min("doc_id").alias("other"))
-    pairs = keys.join(first.hint("merge"), ["pos", "col"]).where("other < doc_id").select(F.col("doc_id").alias("node"), "other").distinct()
-    copies = verify(pairs, full_sets(sample, 4), percent).select(F.col("a").alias("doc_id")).distinct()
-    return sample.join(copies, "doc_id", "left_anti")
-
-
-def _evidence(counts: DataFrame, base: float, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted features with a share of toxic documents well above the usual one, and their log odds."""
-    k, n = F.col("toxic"), F.col("n")
+    told = checkpointed(rows.select("doc_id", "text").mapInArrow(_copy_keys, "doc_id long, set_a long, set_b long, keys array<long>"))
+    # checkpointed apart, so that a large group meets its smallest id in a join that adaptive execution can split
+    owners = checkpointed(told.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("doc_id")).select("doc_id"))
+    equal = told.select("doc_id").join(owners.hint("merge"), "doc_id", "left_anti")
+    keys = checkpointed(told.join(owners.hint("merge"), "doc_id", "left_semi").select("doc_id", F.posexplode("keys")))
+    first = checkpointed(keys.groupBy("pos", "col").agg(F.min("doc_id").alias("other"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    pairs = keys.join(first.hint("merge"), ["pos", "col"]).where("other < doc_id").select(F.col("doc_id").alias("node"), "other")
+    pairs = checkpointed(pairs.distinct())
+    nodes = pairs.select(F.explode(F.array("node", "other")).alias("doc_id")).distinct()
+    sets = full_sets(join_checked(rows.select("doc_id", "text"), nodes, "doc_id", "left_semi"), 4)
+    return equal.union(verify(pairs, sets, percent).select(F.col("a").alias("doc_id")).distinct())
+
+
+def _odds(base: float, settings: Settings, toxic: Column, n: Column) -> Column:
+    """Log odds of a feature with a share of toxic documents well above the usual one; null for others."""
     usual = min(max(base, 1e-4), 0.5)
-    share = (k + settings.shrink * usual) / (n + settings.shrink)
-    ratio = k * F.log(share / usual) + (n - k) * F.log((1 - share) / (1 - usual))
+    share = (toxic + settings.shrink * usual) / (n + settings.shrink)
+    ratio = toxic * F.log(share / usual) + (n - toxic) * F.log((1 - share) / (1 - usual))
     odds = F.log(share / (1 - share)) - math.log(usual / (1 - usual))
-    strong = counts.groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n")).where(k >= settings.min_toxic)
-    strong = strong.where((share > 2 * usual) & (ratio > settings.ratio)).select("key", odds.alias("odds"))
-    found = sorted((int(np.int64(r.key).view(np.uint64)), r.odds) for r in strong.collect())  # words of at most max_rows documents
-    return np.array([key for key, _ in found], np.uint64), np.array([x for _, x in found], float)
+    return F.when((toxic >= settings.min_toxic) & (share > 2 * usual) & (ratio > settings.ratio), odds)
 
 
 def _stated(batches: Iterator[pa.RecordBatch], models: list[Model], settings: Settings) -> Iterator[pa.RecordBatch]:
-    """Document statistics of the sample, each half under the evidence of the other."""
+    """Document statistics of labelled documents, each half under the evidence of the other."""
     decoder = Decoder(models[0].trigrams, settings.trick_cost)
     for batch in batches:
         for part in slices(batch):
+            decoder.known.clear()
             half = part.column(3).to_numpy(zero_copy_only=False)
-            both = [statistics(*buffers(part.column(1)), model, decoder)[0] for model in models]
-            x = np.where((half == 0)[:, None], both[1], both[0])
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "toxic", "x"])
+            for k, model in enumerate(models):
+                own = part.take(pa.array(np.flatnonzero(half != k)))
+                if own.num_rows:
+                    x, _ = statistics(*buffers(own.column(1)), model, decoder)
+                    yield pa.RecordBatch.from_arrays([own.column(2), pa.array(list(x), pa.list_(pa.float64()))], ["toxic", "x"])
+
+
+def learned(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """doc_id, toxic and text of all labelled documents outside the held-out fold, one row an id, without copies."""
+    outside = fold("doc_id", settings.folds) != settings.held_out
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic").cast("int") > 0).cast("int").alias("toxic"))
+    marks = one_row_an_id(marks.where(F.col("toxic").isNotNull() & outside))
+    if settings.max_rows is not None:
+        marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.max_rows)
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(outside)
+    rows = checkpointed(join_checked(texts, marks, "doc_id", "inner").select("doc_id", "toxic", "text"))
+    # only texts of repeated ids have to meet
+    repeated = checkpointed(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+    once = join_checked(rows, repeated, "doc_id", "left_anti")
+    rows = once.union(checkpointed(one_row_an_id(join_checked(rows, repeated, "doc_id", "left_semi"))))
+    return join_checked(rows, copies(rows, settings.copy_percent), "doc_id", "left_anti")
 
 
 def fit(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
-    """Fit the models on a bounded sample of labelled documents outside the held-out fold."""
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    marks = one_row_an_id(marks.where(F.col("toxic").isNotNull() & (fold("doc_id", settings.folds) != settings.held_out)))
-    marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.max_rows)
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(marks), "doc_id")  # at most max_rows ids
-    rows = checkpointed(one_row_an_id(rows.select("doc_id", "toxic", "text")))
-    rows = without_copies(rows, settings.copy_percent)
+    """Fit the models on all labelled documents outside the held-out fold."""
+    rows = learned(documents, labels, settings)
+    base = rows.agg(F.avg("toxic")).first()[0]
     rows = rows.select("doc_id", "text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)).cast("int").alias("half"))
-    rows = checkpointed(rows)
-    counts = checkpointed(rows.mapInArrow(_counted, "kind int, half int, key long, toxic long, n long").groupBy("kind", "half", "key").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n")))
-    base = rows.agg(F.avg("toxic")).first()[0] or 0.0
+    counts = rows.mapInArrow(_counted, "kind int, key long, " + ", ".join(f"{c} long" for c in _SUMS)).groupBy("kind", "key").agg(*(F.sum(c).alias(c) for c in _SUMS))
+    toxic, n = (F.col("toxic_0"), F.col("toxic_1")), (F.col("n_0"), F.col("n_1"))
+    odds = [_odds(base or 0.0, settings, *x).alias(name) for name, x in (("whole", (sum(toxic), sum(n))), ("first", (toxic[0], n[0])), ("second", (toxic[1], n[1])))]
+    told = counts.select("kind", "key", "n_0", *odds).where("kind = 0 or whole is not null or first is not null or second is not null")
+    told = told.toArrow()  # at most 28 ** 3 trigrams, and the strong features: what a model consists of
+    kind, key = told["kind"].to_numpy(), told["key"].to_numpy()
     trigrams = np.zeros(_CLASSES**3, np.int64)
-    for key, n in counts.where("kind = 0").select("key", "n").collect():  # at most 28 ** 3 rows
-        trigrams[key] = n
-    told = counts.where("kind = 1")
-    parts = [told.where(F.col("half") == k) for k in (0, 1)]
-    whole, *halves = (Model(costs(trigrams), *_evidence(part, base, settings), np.zeros(5)) for part in (told, *parts))
-    sample = rows.mapInArrow(partial(_stated, models=halves, settings=settings), "doc_id long, toxic int, x array<double>").toPandas()
-    sample = sample.sort_values(["doc_id", "toxic"], kind="stable")
-    if len(sample):
-        whole.calibration = calibrate(np.array(sample["x"].tolist()), sample["toxic"].to_numpy(float), settings.ridge)
-    else:
-        whole.calibration = np.array([-30.0, 0, 0, 0, 0])
+    trigrams[key[kind == 0]] = told["n_0"].to_numpy()[kind == 0]
+    models = []
+    for name in ("whole", "first", "second"):
+        weights = told[name].to_numpy().astype(float)  # null: not a number
+        strong = np.flatnonzero((kind == 1) & ~np.isnan(weights))
+        strong = strong[np.argsort(key[strong].view(np.uint64))]
+        models.append(Model(costs(trigrams), key[strong].view(np.uint64), weights[strong], BLANK))
+    whole, *halves = models
+    if base is not None:
+        stated = rows.mapInArrow(partial(_stated, models=halves, settings=settings), "toxic int, x array<double>")
+        whole.calibration = calibrate(checkpointed(stated.groupBy("toxic", "x").agg(F.count(F.lit(1)).alias("n"))), settings.ridge)
     return whole
 
 
